@@ -9,17 +9,32 @@ from pyspark.sql import functions as F
 
 from .common import sha256_text, table
 from .fingerprint import edited_fingerprints
+from .html_text import extract_text
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .url_filter import Rule, filter_urls
+from .warc import archive_pages
 
 #: Fixed values of the contract.
 URL_RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_text(F.col("kept_text")).alias("kept_sha256"))
@@ -36,6 +51,15 @@ p AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id),
 SELECT doc_id, n AS n_chars, sha256(concat(substring(t, 1, n - n // 4), substring(nt, 1, n // 4))) AS edited_sha256 FROM p
 """
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM d)
+SELECT page_id, n AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM f
+"""
+
 OP7_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -59,8 +83,9 @@ SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_fingerprints": op5_fingerprints, "op7_line_dedup": op7_line_dedup, "op9_url_filter": op9_url_filter}
+    found = (op1_near_dedup, op4_html_text, op5_fingerprints, op6_warc, op7_line_dedup, op9_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op6_warc": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
