@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sha256_text, table
+from .decontaminate import find_matches
 from .fingerprint import edited_fingerprints
 from .html_text import extract_text
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality import ImportanceModel, resample
 from .url_filter import Rule, filter_urls
 from .warc import archive_pages
 
@@ -23,6 +26,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resample(ImportanceModel(docs, table(spark, sf_dir, "labels")).score(docs), share=0.5)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -40,6 +52,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_text(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -83,7 +99,7 @@ SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op4_html_text, op5_fingerprints, op6_warc, op7_line_dedup, op9_url_filter)
+    found = (op1_near_dedup, op2_decontaminate, op3_quality, op4_html_text, op5_fingerprints, op6_warc, op7_line_dedup, op9_url_filter, op10_mixing)
     return {f.__name__: f for f in found}
 
 
