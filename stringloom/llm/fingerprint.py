@@ -58,16 +58,16 @@ def hashed(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     return df.withColumn(prefix + "canon", canonical(F.col(text_col))).withColumns({prefix + "h1": h1, prefix + "h2": h2})
 
 
-def collisions(rows: DataFrame, whole: DataFrame) -> DataFrame:
+def collisions(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(h1, h2) of the buckets that hold different canonical texts.
 
-    rows: (id, h1, h2) narrow; whole: (id, canon, h1, h2). Only texts of buckets with more than
-    one row are compared, each map task sending one pair of them a bucket at most.
+    rows: (id, h1, h2) narrow; texts: (id, text). Only texts of buckets with more than one row
+    are compared, each map task sending one pair of them a bucket at most. The texts are joined
+    by id before they are hashed, so that Spark can use a shuffle of texts by id again.
     """
     shared = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     members = rows.join(shared, ["h1", "h2"], "left_semi").select("id").distinct()
-    texts = whole.join(members, "id", "left_semi")
-    ends = texts.groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    ends = hashed(texts.join(members, "id", "left_semi"), "text").groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
     return ends.where("least != most").select("h1", "h2")
 
 
@@ -84,8 +84,9 @@ def with_collisions(df: DataFrame, clashes: DataFrame, prefix: str = "") -> Data
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of each row."""
-    whole = hashed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text")
-    clashes = collisions(whole.select("id", "h1", "h2"), whole.select("id", "canon", "h1", "h2"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = hashed(base, "text")
+    clashes = collisions(whole.select("id", "h1", "h2"), base.where("id is not null"))
     return with_collisions(whole, clashes).select(F.col("id").alias(id_col), fingerprint_column("", "clash").alias("fingerprint"))
 
 
@@ -94,16 +95,16 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sizes = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("n"))
     pairs = next_ids(sizes.select("id")).join(sizes, "id").select(F.col("id").alias("for_id"), F.col("next_id").alias("id"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    after = hashed(base.join(pairs, "id"), "text").select("for_id", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("start"), "h1", "h2").alias("s"))
+    placed = base.where("id is not null")  # one shuffle by id serves the three joins below
+    after = hashed(placed.join(pairs, "id"), "text").select("for_id", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("start"), "h1", "h2").alias("s"))
     after = after.groupBy("for_id").agg(F.min("s").alias("s")).select(F.col("for_id").alias("id"), F.col("s.start").alias("start"), F.col("s.h1").alias("nh1"), F.col("s.h2").alias("nh2"))
 
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("start", F.lit("")), F.lit(1), quarter))
-    rows = base.join(after, "id", "left").withColumns({"n_chars": n.cast("long"), "edited": edited})
+    rows = placed.join(after, "id", "left").unionByName(base.where("id is null"), allowMissingColumns=True).withColumns({"n_chars": n.cast("long"), "edited": edited})
     rows = hashed(hashed(rows, "text"), "edited", "e")
-    whole = hashed(base, "text")
-    clashes = collisions(whole.select("id", "h1", "h2"), whole.select("id", "canon", "h1", "h2"))
+    clashes = collisions(hashed(base, "text").select("id", "h1", "h2"), placed)
     rows = with_collisions(with_collisions(rows, clashes), clashes, "e")
     same = (F.col("h1") == F.col("eh1")) & (F.col("h2") == F.col("eh2")) & (F.col("canon") == F.col("ecanon"))
     next_same = F.coalesce((F.col("h1") == F.col("nh1")) & (F.col("h2") == F.col("nh2")), F.lit(False))
