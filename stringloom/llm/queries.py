@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stringloom.shipping import ship
+
 from .common import sha256_text, table
 from .decontaminate import find_matches
 from .fingerprint import edited_fingerprints
@@ -100,7 +102,7 @@ SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow')
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_near_dedup, op2_decontaminate, op3_quality, op4_html_text, op5_fingerprints, op6_warc, op7_line_dedup, op9_url_filter, op10_mixing)
-    return {f.__name__: f for f in found}
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
