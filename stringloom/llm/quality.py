@@ -34,6 +34,8 @@ from .common import written
 BUCKETS, ALPHA, FAR, LABELLED = 1 << 18, 1.0, 1.5, 20_000
 #: Share of the labelled sample that fits the threshold rather than the target model.
 HELD_OUT = 3
+#: What losing a good document weighs against keeping a bad one.
+LOSS = 3.0
 SHAPES = 64
 #: Parts of a range that kth_largest counts at a time.
 CUTS = 4096
@@ -146,7 +148,10 @@ class ImportanceModel:
 
 
 def best_threshold(tails: list[float], good: list[bool]) -> float:
-    """Midway between the two values between which accepting errs least, counted per class."""
+    """Midway between the two values between which accepting errs least, counted per class.
+
+    Losing a share of the good counts LOSS times as much as keeping that share of the bad.
+    """
     n_good, n_bad = sum(good), len(good) - sum(good)
     if not n_good or not n_bad:
         return float("-inf")
@@ -154,7 +159,7 @@ def best_threshold(tails: list[float], good: list[bool]) -> float:
     lost, caught, best, cut = 0, 0, 0.0, float("-inf")
     for i, (tail, ok) in enumerate(pairs):
         lost, caught = lost + ok, caught + (not ok)
-        if i + 1 < len(pairs) and pairs[i + 1][0] > tail and (gain := caught / n_bad - lost / n_good) > best:
+        if i + 1 < len(pairs) and pairs[i + 1][0] > tail and (gain := caught / n_bad - LOSS * lost / n_good) > best:
             best, cut = gain, (tail + pairs[i + 1][0]) / 2
     return cut
 
