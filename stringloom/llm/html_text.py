@@ -66,7 +66,8 @@ class LineParser(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, *self.state_at_text))
+            seen, container, article = self.state_at_text
+            self.lines.append((text, self.tags, container, seen, article))
             self.tags = 0
         self.text = []
 

@@ -13,6 +13,7 @@ from .common import sha256_text, table
 from .decontaminate import find_matches
 from .fingerprint import edited_fingerprints
 from .html_text import extract_text
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -54,6 +55,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_text(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source/lang/thousand/doc_id.txt."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
 
@@ -101,7 +109,7 @@ SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow')
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_decontaminate, op3_quality, op4_html_text, op5_fingerprints, op6_warc, op7_line_dedup, op9_url_filter, op10_mixing)
+    found = (op1_near_dedup, op2_decontaminate, op3_quality, op4_html_text, op5_fingerprints, op6_warc, op7_line_dedup, op8_licenses, op9_url_filter, op10_mixing)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
