@@ -7,11 +7,14 @@ represented by their smallest id. For each representative, SAMPLES MinHash value
   - an Odd sketch: the parity bitmap of the hashed (sample number, value) pairs. The XOR of two
     sketches has about n/2 * (1 - (1 - 2/n)^(2k(1-J))) bits set, from which J is estimated.
 
-In a bucket, all members are first compared with the one of the smallest id (no pairs within a
-group). Pairs whose sketches are within the bound of the threshold (five standard deviations)
-are confirmed on the full sets; those make components. Only where a bucket's members are then
-still in different components, the pairs across components follow, so that no link between
-components is lost while copies of one thing are never paired among themselves.
+In a bucket, members are first compared with the one of the smallest id, each with one such
+centre (no pairs within a group), then those that did not link with another of their centres.
+Pairs whose sketches are within the bound of the threshold (five standard deviations) are
+confirmed on the full sets; those make components. Where a bucket's members are then still in
+different components, a finer Odd sketch of them (FINE_SAMPLES values) tells which could link
+across components. These make families, in which the full sets of all members are compared in
+blocks of BLOCK, except those of one component: no link between components is lost, copies of
+one thing are never paired among themselves, and no table of pairs is written.
 
 Cases: a null or empty text, or one of white space only, has an empty set and is linked with
 nothing. With fewer words than a shingle the whole sequence is one shingle. Rows that repeat an
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,14 @@ from .common import written
 from .components import components
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 32, 4, 256
+FINE_SAMPLES, FINE_BITS = 1024, 2048
 #: Members of a star that one task compares with the centre.
 STAR = 512
+#: Members of a bucket outside its centre's component, and of a family, that a task holds at a time.
+CHUNK, BLOCK = 512, 128
 
-_MIX = np.random.default_rng(20240229).integers(1, 2**63, size=SAMPLES + 16, dtype=np.uint64) | np.uint64(1)
-_MULTIPLIERS, _FOLD = _MIX[:SAMPLES, None], _MIX[SAMPLES:]
+_MIX = np.random.default_rng(20240229).integers(1, 2**63, size=FINE_SAMPLES + 16, dtype=np.uint64) | np.uint64(1)
+_MULTIPLIERS, _FOLD = _MIX[16:, None], _MIX[:16]
 SIGNATURES = "id long, n long, s1 long, s2 long, o0 long, o1 long, o2 long, o3 long, bands array<long>"
 
 
@@ -63,16 +70,18 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(_finish(total))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):
-        np.minimum(low, (s[None, at : at + 2048] * _MULTIPLIERS).min(axis=1), out=low)
+def signature(s: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """The least value of the set under each of the first `samples` multiplications."""
+    low = np.full(samples, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 18) // samples)
+    for at in range(0, len(s), step):
+        np.minimum(low, (s[None, at : at + step] * _MULTIPLIERS[:samples]).min(axis=1), out=low)
     return low
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    bits = _finish(low + np.arange(SAMPLES, dtype=np.uint64) * _FOLD[8]) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(low: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    bits = _finish(low + np.arange(len(low), dtype=np.uint64) * _FOLD[8]) % np.uint64(size)
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -83,9 +92,8 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def sketch_bound(threshold: float) -> int:
+def sketch_bound(threshold: float, k: int = SAMPLES, n: int = SKETCH_BITS) -> int:
     """XOR bits up to which a pair at the threshold stays, with five standard deviations of room."""
-    n, k = SKETCH_BITS, SAMPLES
     spread = math.sqrt(threshold * (1 - threshold) / k)
     at = lambda j: n / 2 * (1 - (1 - 2 / n) ** (2 * k * (1 - j)))
     return math.ceil(at(max(0.0, threshold - 5 * spread)) + 5 * math.sqrt(n) / 4)
@@ -109,6 +117,125 @@ def _signatures(size: int):
     return run
 
 
+def _fine(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [odd_sketch(signature(shingle_set(x.as_py(), size), FINE_SAMPLES), FINE_BITS).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "fine"])
+
+    return run
+
+
+class _Sets(dict):
+    """Disjoint sets."""
+
+    def find(self, x: int) -> int:
+        root = x
+        while self.setdefault(root, root) != root:
+            root = self[root]
+        while self[x] != root:
+            self[x], x = root, self[x]
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _families(bound: int):
+    """Rows (bucket, part, inside, id, c, fine) in this order -> edges that hold families together.
+
+    A part's outside members come first and are held (CHUNK of them or so); the bucket's members
+    stream past. Of the possible links only a spanning set is given on.
+    """
+    names = ["a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, codes, sets = None, [], None, _Sets()
+        for batch in batches:
+            a_out, b_out = [], []
+            buckets, parts, inside, ids, cs, fine = (batch.column(i).to_pylist() for i in range(6))
+            at, n = 0, len(ids)
+            while at < n:
+                if (buckets[at], parts[at]) != key:
+                    key, held, codes, sets = (buckets[at], parts[at]), [], None, _Sets()
+                end = at
+                while end < n and (buckets[end], parts[end]) == key and inside[end] == inside[at] and end - at < CHUNK:
+                    end += 1
+                rows = np.frombuffer(b"".join(fine[at:end]), np.uint64).reshape(end - at, FINE_BITS // 64)
+                if not inside[at]:
+                    held += list(zip(ids[at:end], cs[at:end], strict=True))
+                    codes = rows if codes is None else np.concatenate([codes, rows])
+                elif codes is not None:
+                    held_c = np.array([c for _, c in held])
+                    for i in range(at, end):
+                        apart = np.bitwise_count(codes ^ rows[i - at]).sum(axis=1, dtype=np.int64)
+                        near = np.flatnonzero((apart <= bound) & (held_c != cs[i]))
+                        for j in near.tolist():
+                            if sets.join(ids[i], held[j][0]):
+                                a_out.append(ids[i])
+                                b_out.append(held[j][0])
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names)
+
+    return run
+
+
+class _Block:
+    """Full sets of a family's block, and how many elements a further set shares with each."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, np.ndarray]] = []
+        self.values = None
+
+    def add(self, key: int, c: int, s: np.ndarray) -> None:
+        self.rows.append((key, c, s))
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        if self.values is None:
+            every = np.concatenate([r[2] for r in self.rows])
+            owner = np.repeat(np.arange(len(self.rows)), [len(r[2]) for r in self.rows])
+            order = np.argsort(every, kind="stable")
+            self.owner, (self.values, self.first, self.count) = owner[order], np.unique(every[order], return_index=True, return_counts=True)
+            self.sizes, self.cs = np.array([len(r[2]) for r in self.rows]), np.array([r[1] for r in self.rows])
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        at = at[self.values[at] == s]
+        first, count = self.first[at], self.count[at]
+        places = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else np.empty(0, np.int64)
+        return np.bincount(self.owner[places], minlength=len(self.rows))
+
+
+def _across_blocks(size: int, above: int, out_of: int):
+    """Rows (family, i, j, right, id, c, text) in this order -> links, one for two components of a pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, met = None, _Block(), set()
+        for batch in batches:
+            a_out, b_out = [], []
+            for family, i, j, right, row, c, text in zip(*(batch.column(k) for k in range(7)), strict=True):
+                now = (family.as_py(), i.as_py(), j.as_py())
+                if now != key:
+                    key, block, met = now, _Block(), set()
+                row, c, s = row.as_py(), c.as_py(), shingle_set(text.as_py(), size)
+                if not right.as_py():
+                    block.add(row, c, s)
+                    continue
+                if not block.rows:
+                    continue
+                both = block.shared(s)
+                links = np.flatnonzero((out_of * both >= above * (block.sizes + len(s) - both)) & (block.cs != c))
+                for k in links.tolist():
+                    pair = (block.rows[k][1], c)
+                    if pair not in met:
+                        met.add(pair)
+                        a_out.append(block.rows[k][0])
+                        b_out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _compare(size: int, above: int, out_of: int):
     """Rows of a star follow each other, the centre's text first; only its set is held."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -136,18 +263,20 @@ def _compare(size: int, above: int, out_of: int):
     return run
 
 
-def _apart(x: str, y: str) -> Column:
-    bits = [F.bit_count(F.col(f"{x}.o{i}").bitwiseXOR(F.col(f"{y}.o{i}"))) for i in range(4)]
-    return bits[0] + bits[1] + bits[2] + bits[3]
+def _apart(x: str, y: str, parts: list[str]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in parts])
+
+
+COARSE_PARTS = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 
 
 class NearDuplicates:
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: tuple[int, int] = (85, 100)) -> None:
         self.size, self.threshold = shingle, threshold
         self.bound = sketch_bound(threshold[0] / threshold[1])
+        self.fine_bound = sketch_bound(threshold[0] / threshold[1], FINE_SAMPLES, FINE_BITS)
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-        self.labels: DataFrame | None = None
-        self.edges: list[DataFrame] = []
+        self.labels = docs.sparkSession.createDataFrame([], "id long, component long")
 
     def members(self) -> DataFrame:
         """(id, n, component) of each row."""
@@ -158,67 +287,82 @@ class NearDuplicates:
         keys = reps.select(F.explode("bands").alias("bucket"), "id")
         shared = keys.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("bucket", "pivot")
         buckets = written(keys.join(shared, "bucket"), "buckets")
-        sketches = reps.select("id", "o0", "o1", "o2", "o3")
-        self._settle(self._near(buckets.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sketches))
-        self._settle(self._across(buckets, sketches))
+        sketches = reps.select("id", *COARSE_PARTS)
+
+        first = buckets.where("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
+        self._confirm(self._near(first, sketches))
+        other = self._named(buckets).where("c != pc").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        self._confirm(self._best(self._near(other, sketches)))
+        self._across(self._named(buckets))
+
         where = firsts.join(self.labels, firsts.rep == self.labels.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
         known = rows.select("id", "n", "s1", "s2").join(where, ["s1", "s2"], "left")
         return known.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
 
     def _near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b, apart) whose sketches are within the bound."""
-        x = pairs.join(sketches.select(F.col("id").alias("a"), F.struct("o0", "o1", "o2", "o3").alias("x")), "a")
-        y = x.join(sketches.select(F.col("id").alias("b"), F.struct("o0", "o1", "o2", "o3").alias("y")), "b")
-        return y.select("a", "b", _apart("x", "y").alias("apart")).where(F.col("apart") <= self.bound).groupBy("a", "b").agg(F.min("apart").alias("apart"))
-
-    def _across(self, buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs of different components in a bucket: each has a member outside the pivot's component."""
-        of = self.labels
-        named = buckets.join(of, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("c"))
-        named = named.join(of.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-        outside = written(named.where("c != pc").join(sketches.select("id", F.struct("o0", "o1", "o2", "o3").alias("x")), "id").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), "pc", "x"), "outside")
-        open_buckets = outside.select("bucket").distinct()
-        inside = named.where("id != pivot").join(open_buckets, "bucket", "left_semi").join(sketches.select("id", F.struct("o0", "o1", "o2", "o3").alias("y")), "id").select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), "y")
-        pairs = outside.join(inside, "bucket").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("pc")) | (F.col("ca") < F.col("cb")))).where(_apart("x", "y") <= self.bound)
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _apart("x", "y").alias("apart")).distinct()
-
-    def _settle(self, candidates: DataFrame) -> None:
-        """Confirms candidates until each joins one component or is known not to be a link.
-
-        The likeliest centre of each text is tried first; what lies inside one component
-        afterwards needs no look.
-        """
-        candidates = written(candidates, "candidates")
-        if candidates.isEmpty():
-            self._label()
+        x = pairs.join(sketches.select(F.col("id").alias("a"), F.struct(COARSE_PARTS).alias("x")), "a")
+        y = x.join(sketches.select(F.col("id").alias("b"), F.struct(COARSE_PARTS).alias("y")), "b")
+        return y.select("a", "b", _apart("x", "y", COARSE_PARTS).alias("apart")).where(F.col("apart") <= self.bound)
+
+    def _named(self, buckets: DataFrame) -> DataFrame:
+        """(bucket, id, pivot, c, pc): with the components of the member and of the pivot."""
+        named = buckets.join(self.labels, "id", "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("c"))
+        pivots = named.where("id = pivot").select("bucket", F.col("c").alias("pc")).distinct()
+        return named.join(pivots, "bucket")
+
+    @staticmethod
+    def _best(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).where("rank = 1").select("a", "b", "apart")
+
+    def _across(self, named: DataFrame) -> None:
+        """Links between the components that meet in a bucket."""
+        outside = written(named.where("c != pc").select("bucket", "id", "c"), "outside")
+        if outside.isEmpty():
             return
-        ids = written(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        parts = outside.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+        inside = written(named.join(parts, "bucket").select("bucket", "id", "c", "parts"), "inside")
+        ids = written(inside.select("id").distinct(), "ids")
+        fine = written(self.texts.join(ids, "id", "left_semi").mapInArrow(_fine(self.size), "id long, fine binary"), "fine")
+        held = outside.join(parts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("inside"), "id", "c")
+        passing = inside.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inside"), "id", "c")
+        rows = held.unionByName(passing).join(fine, "id").select("bucket", "part", "inside", "id", "c", "fine")
+        rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "inside")
+        edges = rows.mapInArrow(_families(self.fine_bound), "a long, b long").distinct()
+        family = components(edges).select("id", F.col("component").alias("family"))
+
+        order = Window.partitionBy("family").orderBy("c", "id")
+        members = family.join(self.labels, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
+        members = written(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "members")
+        blocks = members.groupBy("family", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+        left = blocks.select("family", F.col("block").alias("i"), F.col("low").alias("il"), F.col("high").alias("ih"))
+        right = blocks.select("family", F.col("block").alias("j"), F.col("low").alias("jl"), F.col("high").alias("jh"))
+        pairs = written(left.join(right, "family").where("i <= j and least(il, jl) != greatest(ih, jh)").select("family", "i", "j"), "block_pairs")
+        wanted = written(members.select("id").distinct(), "ids")
+        whole = written(members.join(self.texts.join(wanted, "id", "left_semi"), "id"), "texts")
+        names = ["family", "i", "j", "right", "id", "c", "text"]
+        one = pairs.join(whole.withColumnRenamed("block", "i"), ["family", "i"]).withColumn("right", F.lit(False)).select(names)
+        two = pairs.join(whole.withColumnRenamed("block", "j"), ["family", "j"]).withColumn("right", F.lit(True)).select(names)
+        rows = one.unionByName(two).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "right")
+        self._link(rows.mapInArrow(_across_blocks(self.size, *self.threshold), "a long, b long"))
+
+    def _confirm(self, pairs: DataFrame) -> None:
+        """Compares the full sets of pairs (a, b) and joins the components of those that link."""
+        pairs = written(pairs.select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            return
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         texts = written(self.texts.join(ids, "id", "left_semi"), "texts")
-        best = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).where("rank = 1").select("a", "b")
-        self._confirm(best, texts)
-        rest = candidates.join(best, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            rest = rest.join(self.labels.select(F.col("id").alias(end), F.col("component").alias("c" + end)), end, "left")
-        rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-        if not rest.isEmpty():
-            self._confirm(rest, texts)
-
-    def _confirm(self, pairs: DataFrame, texts: DataFrame) -> None:
         large = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
         dealt = pairs.join(large, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b")
         centres = large.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
         one = centres.join(texts, centres.a == texts.id).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
         two = dealt.join(texts, dealt.b == texts.id).select("a", "salt", "b", "text")
         stars = one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        self.edges.append(written(stars.mapInArrow(_compare(self.size, *self.threshold), "a long, b long"), "links"))
-        self._label()
-
-    def _label(self) -> None:
-        spark = self.texts.sparkSession
-        edges = spark.createDataFrame([], "a long, b long")
-        if self.labels is not None:
-            edges = edges.union(self.labels.select("id", "component"))
-        self.labels = components(edges.union(self.edges[-1]) if self.edges else edges)
+        self._link(stars.mapInArrow(_compare(self.size, *self.threshold), "a long, b long"))
+
+    def _link(self, links: DataFrame) -> None:
+        self.labels = components(self.labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
