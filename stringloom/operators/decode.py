@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stringloom.functions import codecs
 from stringloom.functions.dialect import SPARK
@@ -21,13 +22,13 @@ from .text import trimmed
 LEAST = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _as_text(data: pd.Series) -> pd.Series:
     return pd.Series([codecs.bytes_to_text(None if x is None else bytes(x)) for x in data], dtype=object)
 
 
 def _python(f):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(v: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else f(x) for x in v], dtype=object)
 
@@ -93,7 +94,7 @@ def embedded_base64_rows(rows: DataFrame) -> DataFrame:
     plain = F.octet_length(F.rtrim(F.col("token"), F.lit("=")))
     ok = (F.col("token") != F.col("value")) & (F.length("token") % 4 == 0) & ((plain >= 12) | F.col("token").endswith("=") | asked)
     decoded = found.where(ok).withColumn("__data", F.unbase64("token")).where(F.regexp_replace(F.base64("__data"), "[\r\n]", "") == F.col("token"))
-    offset = F.col("data_offset") + F.octet_length(F.substring_index("value", F.col("token"), F.lit(1)))
+    offset = F.col("data_offset") + F.expr("octet_length(substring_index(value, token, 1))")
     decoded = decoded.withColumn("data_offset", offset.cast("long"))
     return _done(decoded, as_text(F.col("__data")), "Base64Decode", F.length("token")).drop("__m", "__n", "token", "__data")
 

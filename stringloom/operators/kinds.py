@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stringloom.functions import lexicon as L
 from stringloom.functions.classify import DEFER, base64_gate, base85_gate, kind_sql, url_encoded
@@ -14,9 +15,16 @@ from stringloom.functions.dialect import SPARK
 KEY = "blob_id"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _rest(value: pd.Series, base85: pd.Series, base64: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([classify_rest(v, bool(a), bool(b), bool(u)) for v, a, b, u in zip(value, base85, base64, url, strict=True)], dtype=object)
+    out = pd.Series([None] * len(value), dtype=object)
+    for i in value.index[value.notna()]:
+        out[i] = classify_rest(value[i], bool(base85[i]), bool(base64[i]), bool(url[i]))
+    return out
+
+
+#: Not deterministic for the optimiser, which else computes the kind again in every filter on it.
+_rest_once = _rest.asNondeterministic()
 
 
 def native_kind(value: str = "value") -> Column:
@@ -25,14 +33,12 @@ def native_kind(value: str = "value") -> Column:
 
 
 def with_kind(rows: DataFrame, value: str = "value", out: str = "kind") -> DataFrame:
-    """rows with the kind of each value. Only the few undecided rows go through Python."""
-    first = rows.withColumn(out, native_kind(value))
-    open_ = F.col(out) == DEFER
+    """rows with the kind of each value. Python sees the few undecided values, nulls for the others."""
+    first = rows.withColumn("__k", native_kind(value))
+    open_ = F.col("__k") == DEFER
     gate = lambda sql: F.when(open_, F.expr(sql)).otherwise(False)
-    marked = first.withColumns({"__v": F.when(open_, F.col(value)).otherwise(""), "__85": gate(base85_gate(SPARK, value)), "__64": gate(base64_gate(SPARK, value)), "__url": gate(url_encoded(SPARK, value))})
-    done = marked.where(~open_ | F.col(out).isNull()).drop("__v", "__85", "__64", "__url")
-    rest = marked.where(open_).withColumn(out, _rest("__v", "__85", "__64", "__url")).drop("__v", "__85", "__64", "__url")
-    return done.unionByName(rest)
+    rest = _rest_once(F.when(open_, F.col(value)), gate(base85_gate(SPARK, value)), gate(base64_gate(SPARK, value)), gate(url_encoded(SPARK, value)))
+    return first.withColumn("__rest", rest).withColumn(out, F.when(open_, F.col("__rest")).otherwise(F.col("__k"))).drop("__k", "__rest")
 
 
 def severity(kind: Column) -> Column:
