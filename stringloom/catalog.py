@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stringloom.functions import lexicon as L
+from stringloom.functions.classify import DEFER, kind_sql
+from stringloom.functions.dialect import DUCKDB, SPARK
+from stringloom.functions.keys import candidate_sql, entropy_sql, score_sql
+from stringloom.operators import decode, iocs, kinds, ranges, text
+from stringloom.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,6 +20,18 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -22,3 +42,361 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["ioc_rollup"](spark, sf_dir)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), "text")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.tokens(_documents(spark, sf_dir))
+
+
+EDGE = "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$"
+TOKENS_SQL = f"""
+WITH w AS (SELECT doc_id AS blob_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents),
+t AS (SELECT blob_id, regexp_replace(word, '{EDGE}', '', 'g') AS value FROM w WHERE regexp_replace(word, '{EDGE}', '', 'g') <> '')
+"""
+#: Lines in SQL with their byte offsets.
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id AS blob_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+o AS (SELECT blob_id, pos, line, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY blob_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS data_offset FROM l),
+r AS (SELECT blob_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS value, CAST(data_offset AS BIGINT) AS data_offset FROM o)
+"""
+
+
+# --- indicators ---------------------------------------------------------------------------
+
+
+@query(
+    TOKENS_SQL
+    + f""",
+ip AS (SELECT blob_id, value FROM t WHERE {iocs.external_ipv4(DUCKDB, "value", "true")}),
+h AS (SELECT page_id AS blob_id, lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS value, regexp_extract(url, '://[^/?#:]*:([0-9]+)', 1) AS port FROM pages),
+a AS (SELECT 'ip' AS kind, value, blob_id, NULL AS port FROM ip UNION ALL SELECT 'hostname', value, blob_id, nullif(port, '') FROM h WHERE contains(value, '.'))
+SELECT kind, value, count(*) AS count, coalesce(string_agg(DISTINCT port, ','), '') AS ports, min(blob_id) AS first_seen FROM a GROUP BY kind, value
+"""
+)
+def ioc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External addresses among the tokens of documents and hosts of page URLs, rolled up."""
+    words = _tokens(spark, sf_dir).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value", F.lit("IP").alias("kind"))
+    urls = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.col("url").alias("value"), F.lit("Url").alias("kind"))
+    rows = words.unionByName(urls).withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("ScriptDecode")})
+    found = iocs.matches(rows)
+    return found.groupBy(F.col("ioc_kind").alias("kind"), F.col("ioc_value").alias("value")).agg(
+        F.count(F.lit(1)).alias("count"), F.coalesce(F.array_join(F.array_sort(F.collect_set(F.col("port").cast("string"))), ","), F.lit("")).alias("ports"), F.min("blob_id").alias("first_seen")
+    )
+
+
+@query(
+    r"""
+SELECT lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS host, count(*) AS n, count(DISTINCT url) AS urls FROM pages
+WHERE contains(url, '://') GROUP BY ALL"""
+)
+def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "pages").where(F.col("url").contains("://"))
+    return rows.groupBy(F.lower(F.regexp_extract("url", "://(?:[^/?#]*@)?([^/?#:]*)", 1)).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
+
+
+@query(TOKENS_SQL + f"SELECT value, count(*) AS n, count(DISTINCT blob_id) AS docs FROM t WHERE {iocs.external_ipv4(DUCKDB, 'value', 'true')} GROUP BY value")
+def external_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("blob_id").alias("docs"))
+
+
+@query(
+    rf"""
+WITH h AS (SELECT page_id AS blob_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS p FROM pages),
+x AS (SELECT blob_id, unnest(['/opt' || p, '/tmp' || p || '.bin', '/usr/lib' || p, '/dev' || p, '/home/user/src' || p || '.py', p]) AS value FROM h)
+SELECT value, count(*) AS n FROM x WHERE {iocs.ioc_path(DUCKDB, "value")} GROUP BY value"""
+)
+def path_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths under synthetic roots, judged."""
+    p = _table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1)).alias("p"))
+    x = p.select(F.explode(F.array(F.concat(F.lit("/opt"), "p"), F.concat(F.lit("/tmp"), "p", F.lit(".bin")), F.concat(F.lit("/usr/lib"), "p"), F.concat(F.lit("/dev"), "p"), F.concat(F.lit("/home/user/src"), "p", F.lit(".py")), "p")).alias("value"))
+    return x.where(F.expr(iocs.ioc_path(SPARK, "value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    TOKENS_SQL
+    + f""",
+f AS (SELECT blob_id, value, row_number() OVER (PARTITION BY value ORDER BY blob_id) AS r, count(*) OVER (PARTITION BY value) AS n FROM (SELECT DISTINCT blob_id, value FROM t WHERE {iocs.external_ipv4(DUCKDB, "value", "true")}))
+SELECT value, max(n) AS n, string_agg(CAST(blob_id AS VARCHAR), ',' ORDER BY blob_id) AS first FROM f WHERE r <= 8 GROUP BY value"""
+)
+def first8_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight documents of each address; all are counted."""
+    rows = _tokens(spark, sf_dir).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value").distinct()
+    rows = rows.withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("ScriptDecode"), "ioc_kind": F.lit("ip"), "ioc_value": F.col("value"), "port": F.lit(None).cast("int")})
+    return iocs.rollup(rows).select("value", F.col("count").alias("n"), F.array_join(F.transform("occurrences", lambda o: o["blob_id"].cast("string")), ",").alias("first"))
+
+
+# --- kinds --------------------------------------------------------------------------------
+
+
+@query(TOKENS_SQL + f", k AS (SELECT value, {kind_sql(DUCKDB)} AS kind FROM t) SELECT coalesce(kind, 'none') AS kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM k GROUP BY ALL")
+def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of all tokens by the rules that are column expressions; "?" is left to byte decoding."""
+    rows = _tokens(spark, sf_dir).select("value", F.coalesce(kinds.native_kind(), F.lit("none")).alias("kind"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("distinct_values"))
+
+
+@query(LINES_SQL + f", k AS (SELECT value, {kind_sql(DUCKDB)} AS kind FROM r WHERE strlen(value) >= 4) SELECT coalesce(kind, 'none') AS kind, count(*) AS n, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM k GROUP BY ALL")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.line_rows(_documents(spark, sf_dir)).select("value", F.coalesce(kinds.native_kind(), F.lit("none")).alias("kind"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+
+
+def _severity_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {DUCKDB.among(c, names)} THEN '{s}'" for s, names in L.SEVERITY.items() if s != "Info") + " ELSE 'Info' END"
+
+
+@query(TOKENS_SQL + f", k AS (SELECT {kind_sql(DUCKDB)} AS kind FROM t) SELECT {_severity_sql('kind')} AS severity, count(*) AS n FROM k WHERE coalesce(kind, '') <> '{DEFER}' GROUP BY ALL")
+def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tokens(spark, sf_dir).select(kinds.native_kind().alias("kind")).where(F.coalesce("kind", F.lit("")) != DEFER)
+    return rows.groupBy(kinds.severity(F.col("kind")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _synthetic(d) -> str:
+    """Values that the rules for secrets, wallets and the like must find, made from keys of part."""
+    hexed = f"{'lower(md5(cast(p_partkey as string)))' if d.spark else 'md5(CAST(p_partkey AS VARCHAR))'}"
+    parts = (
+        f"concat(substr({hexed}, 1, 8), '-', substr({hexed}, 9, 4), '-', substr({hexed}, 13, 4), '-', substr({hexed}, 17, 4), '-', substr({hexed}, 21, 12))", f"concat('AKIA', upper(substr({hexed}, 1, 16)))", f"concat('ghp_', {hexed}, 'Zz09')",
+        f"concat('0x', {hexed}, substr({hexed}, 1, 8))", f"concat('user', p_partkey, '@mail', p_size, '.example.com')", f"concat('bc1q', {hexed}, substr({hexed}, 1, 8))", f"concat('http://10.0.0.1/', {hexed})",
+        f"concat('/etc/cron.d/', substr({hexed}, 1, 6), 'abcdefghijklm')", "concat('sudo rm -rf /data/', p_partkey)", "concat('HKLM', chr(92), 'Software', chr(92), p_brand)", f"concat('%', '48', '%', '49', substr({hexed}, 1, 8), 'hello')",
+        "concat('45.33.32.', p_size, ':', 8000 + p_partkey)", f"concat('CTF{{', {hexed}, '}}')", "concat('import os; os.system(', p_partkey, ')')", f"concat('MY_VAR_', upper(substr({hexed}, 1, 4)))",
+    )
+    return f"{'explode(array' if d.spark else 'unnest('}{'(' if d.spark else '['}{', '.join(parts)}{')' if d.spark else ']'})"
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_synthetic(DUCKDB)} AS value FROM part), k AS (SELECT p_partkey, value, {kind_sql(DUCKDB)} AS kind FROM t) SELECT p_partkey, value, kind FROM k")
+def synthetic_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_synthetic(SPARK)} AS value")
+    return rows.select("p_partkey", "value", kinds.native_kind().alias("kind"))
+
+
+def _kind_tokens(name: str, wanted: tuple[str, ...]) -> None:
+    @query(TOKENS_SQL + f", k AS (SELECT value, {kind_sql(DUCKDB)} AS kind FROM t) SELECT value, kind, count(*) AS n FROM k WHERE {DUCKDB.among('kind', wanted)} GROUP BY ALL")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _tokens(spark, sf_dir).select("value", kinds.native_kind().alias("kind")).where(F.col("kind").isin(*wanted)).groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+    _QUERIES[name], _SQL[name] = _QUERIES.pop("run"), _SQL.pop("run")
+
+
+_kind_tokens("hash_tokens", ("Hash", "HexEncoded"))
+_kind_tokens("email_tokens", ("Email",))
+
+
+@query(
+    TOKENS_SQL
+    + f""", k AS (SELECT blob_id, value, {kind_sql(DUCKDB)} AS kind FROM t),
+n AS (SELECT blob_id, value, kind, CASE WHEN kind IN ('IP', 'IPPort') THEN 0 WHEN kind IN ('ShellCmd', 'SuspiciousPath') THEN 1 WHEN kind = 'Base64' THEN 2 WHEN kind = 'Url' THEN 4 ELSE 5 END AS bucket FROM k WHERE {_severity_sql("kind")} = 'High'),
+d AS (SELECT DISTINCT * FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY bucket, value) AS rank FROM d)
+SELECT blob_id, value, kind, bucket, rank FROM r WHERE rank <= 8"""
+)
+def notable_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its eight most notable distinct tokens."""
+    rows = _tokens(spark, sf_dir).select("blob_id", "value", kinds.native_kind().alias("kind")).where(kinds.severity(F.col("kind")) == "High").distinct()
+    out = kinds.notable(rows.withColumn("data_offset", F.lit(0)))
+    return out.select("blob_id", "value", "kind", "bucket", "rank")
+
+
+# --- text extractors ----------------------------------------------------------------------
+
+
+@query(LINES_SQL + "SELECT blob_id, value, data_offset, CAST(strlen(value) AS INT) AS data_len FROM r WHERE strlen(value) >= 4")
+def line_rows_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.line_rows(_documents(spark, sf_dir)).select("blob_id", "value", "data_offset", "data_len")
+
+
+@query(
+    r"""
+WITH m AS (SELECT page_id AS blob_id, unnest(regexp_extract_all(html, '[ -~\t]{8,}')) AS run, generate_subscripts(regexp_extract_all(html, '[ -~\t]{8,}'), 1) - 1 AS pos FROM pages),
+v AS (SELECT blob_id, pos, strlen(run) AS n, regexp_replace(run, '^[ \t]+|[ \t]+$', '', 'g') AS value FROM m)
+SELECT blob_id, value, CAST(min(pos) AS INT) AS pos, CAST(arg_min(n, pos) AS INT) AS data_len FROM v WHERE strlen(value) >= 8 GROUP BY blob_id, value"""
+)
+def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.col("html").alias("text"))
+    return text.printable_runs(pages, min_length=8).select("blob_id", "value", "pos", "data_len")
+
+
+def _packed_sql() -> str:
+    finds = " UNION ALL ".join(f"SELECT page_id AS blob_id, '{n}' AS pattern, unnest(list_distinct(regexp_extract_all(html, {DUCKDB.lit(p)}))) AS value FROM pages" for n, p in text.PACKED)
+    return f"WITH f AS ({finds}) SELECT * FROM f WHERE strlen(value) >= 4 AND strlen(regexp_replace(value, '[^0-9]', '', 'g')) * 100 / strlen(value) <= 70 AND NOT (strlen(value) < 8 AND regexp_matches(value, '^[0-9a-f]+$'))"
+
+
+@query(_packed_sql())
+def packed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.packed_patterns(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.col("html").alias("text")))
+
+
+@query(r"SELECT c_custkey, c_name AS decoded FROM customer WHERE strlen(c_name) >= 4 AND regexp_matches(c_name, '^[!-~]+$')")
+def spaced_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written with a blank after each letter come back whole."""
+    names = _table(spark, sf_dir, "customer").where(F.col("c_name").rlike("^[!-~]+$") & (F.octet_length("c_name") >= 4))
+    return text.spaced_ascii(names.withColumn("value", F.regexp_replace("c_name", "(.)", "$1 "))).select("c_custkey", "decoded")
+
+
+@query(
+    r"""
+WITH n AS (SELECT doc_id, text, greatest(CAST(ceil(length(text) / 120) AS INT), 1) AS k FROM documents), p AS (SELECT doc_id, text, unnest(generate_series(0, k - 1)) AS i FROM n)
+SELECT doc_id AS blob_id, CAST(strlen(substr(text, 1, CAST(i * 120 AS INT))) AS BIGINT) AS line_offset, substr(text, CAST(i * 120 + 1 AS INT), 120) AS line FROM p"""
+)
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("blob_id", F.col("text").alias("value"), F.lit(0).cast("long").alias("data_offset"))
+    return text.wrapped(rows, 120).select("blob_id", "line_offset", "line")
+
+
+# --- decoders -----------------------------------------------------------------------------
+
+
+def _encoded(spark: SparkSession, sf_dir: str, value) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), value.alias("value"))
+    return rows.withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("RawScan"), "kind": F.lit(None).cast("string")})
+
+
+def _plain():
+    return F.concat(F.lit("Note for the part of brand "), F.col("p_brand"), F.lit(": "), F.col("p_name"))
+
+
+PLAIN_SQL = "SELECT p_partkey AS blob_id, concat('Note for the part of brand ', p_brand, ': ', p_name) AS value FROM part"
+
+
+@query(PLAIN_SQL)
+def b64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _encoded(spark, sf_dir, F.regexp_replace(F.base64(F.encode(_plain(), "UTF-8")), "[\r\n]", ""))
+    return decode.base64_rows(rows.withColumn("kind", F.lit("Base64"))).select("blob_id", "value")
+
+
+@query(PLAIN_SQL)
+def hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.hex_rows(_encoded(spark, sf_dir, F.hex(F.encode(_plain(), "UTF-8")))).select("blob_id", "value")
+
+
+@query(PLAIN_SQL)
+def url_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.url_rows(_encoded(spark, sf_dir, F.regexp_replace(F.hex(F.encode(_plain(), "UTF-8")), "(..)", "%$1"))).select("blob_id", "value")
+
+
+@query(PLAIN_SQL)
+def unicode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.unicode_rows(_encoded(spark, sf_dir, F.regexp_replace(F.hex(F.encode(_plain(), "UTF-8")), "(..)", r"\\x$1"))).select("blob_id", "value")
+
+
+@query("SELECT p_partkey AS blob_id, concat('note ', p_name) AS value, 4 AS data_offset FROM part")
+def embedded_b64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.regexp_replace(F.base64(F.encode(F.concat(F.lit("note "), "p_name"), "UTF-8")), "[\r\n]", "")
+    rows = _encoded(spark, sf_dir, F.concat(F.lit("cfg="), token, F.lit(" ;base64 -d")))
+    return decode.embedded_base64_rows(rows).select("blob_id", "value", F.col("data_offset").cast("int").alias("data_offset"))
+
+
+@query(f"SELECT value, {decode.quality_sql(DUCKDB, 'value')} AS quality FROM (SELECT DISTINCT p_name AS value FROM part UNION SELECT DISTINCT url FROM pages)")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select(F.col("p_name").alias("value")).union(_table(spark, sf_dir, "pages").select("url")).distinct()
+    return rows.select("value", F.expr(decode.quality_sql(SPARK, "value")).alias("quality"))
+
+
+# --- deduplication, joins, windows --------------------------------------------------------
+
+
+@query(LINES_SQL + "SELECT blob_id, value, min(data_offset) AS data_offset FROM r WHERE strlen(value) >= 4 GROUP BY blob_id, value")
+def dedup_first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinds.first_per_value(text.line_rows(_documents(spark, sf_dir))).select("blob_id", "value", "data_offset")
+
+
+@query(
+    r"""
+WITH a AS (SELECT l_orderkey AS blob_id, CAST(l_partkey % 50 AS BIGINT) AS data_offset, concat('v', l_suppkey, l_returnflag) AS value,
+  CASE l_linenumber % 4 WHEN 0 THEN 'RawScan' WHEN 1 THEN 'Base64ObfuscatedDecode' WHEN 2 THEN 'Structure' ELSE 'WideString' END AS method FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY blob_id, data_offset ORDER BY CASE method WHEN 'Structure' THEN 3 WHEN 'WideString' THEN 2 ELSE 0 END DESC, strlen(value) DESC, method, value) AS k FROM a)
+SELECT blob_id, data_offset, value, method FROM r WHERE k = 1"""
+)
+def dedup_top_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS blob_id", "CAST(l_partkey % 50 AS BIGINT) AS data_offset", "concat('v', l_suppkey, l_returnflag) AS value",
+        "CASE l_linenumber % 4 WHEN 0 THEN 'RawScan' WHEN 1 THEN 'Base64ObfuscatedDecode' WHEN 2 THEN 'Structure' ELSE 'WideString' END AS method",
+    )
+    return kinds.top_per_offset(rows)
+
+
+@query("SELECT o_orderkey AS blob_id, o_orderstatus AS value FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linestatus = o.o_orderstatus)")
+def known_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS blob_id", "o_orderstatus AS value")
+    return ranges.without_known(rows, _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS blob_id", "l_linestatus AS value"))
+
+
+@query(
+    LINES_SQL
+    + r""", s AS (SELECT doc_id AS blob_id, unnest([0, n_chars // 3]) AS start, unnest([n_chars // 4, n_chars // 2]) AS "end", unnest(['a', 'b']) AS name FROM documents)
+SELECT s.name, count(*) AS n, CAST(sum(strlen(r.value)) AS BIGINT) AS bytes FROM r JOIN s ON r.blob_id = s.blob_id AND r.data_offset >= s.start AND r.data_offset < s."end" WHERE strlen(r.value) >= 4 GROUP BY s.name"""
+)
+def range_join_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.line_rows(_documents(spark, sf_dir))
+    third = _table(spark, sf_dir, "documents").selectExpr("doc_id AS blob_id", "explode(array(struct(CAST(0 AS BIGINT) AS start, n_chars div 4 AS end, 'a' AS name), struct(n_chars div 3 AS start, n_chars div 2 AS end, 'b' AS name))) AS s")
+    return ranges.in_ranges(rows, third.select("blob_id", "s.*")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+
+
+@query(
+    r"""
+WITH r AS (SELECT c_custkey AS blob_id, c_name AS value FROM customer), s AS (SELECT DISTINCT o_custkey AS blob_id, 'seen' AS kind FROM orders)
+SELECT r.blob_id, r.value, s.kind FROM r LEFT JOIN s ON r.blob_id = s.blob_id"""
+)
+def merge_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers with orders take their kind from the symbol table."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS blob_id", "c_name AS value", "CAST(0 AS BIGINT) AS data_offset", "0 AS data_len", "'RawScan' AS method", "CAST(NULL AS STRING) AS kind")
+    seen = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("blob_id")).distinct().join(rows.select("blob_id", "value"), "blob_id")
+    return ranges.merge_symbols(rows, seen.withColumns({"kind": F.lit("seen"), "data_offset": F.lit(0).cast("long")})).select("blob_id", "value", "kind")
+
+
+@query(
+    r"""
+WITH g AS (SELECT o_custkey AS blob_id, o_orderkey AS start, o_orderkey + 40 AS "end" FROM orders),
+n AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY blob_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 100 THEN 0 ELSE 1 END AS new FROM g),
+i AS (SELECT *, sum(new) OVER (PARTITION BY blob_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT blob_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(start) AS first, max("end") AS last FROM i GROUP BY ALL"""
+)
+def write_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey AS blob_id", "o_orderkey AS start", "o_orderkey + 40 AS end")
+    return ranges.islands(rows, 100).groupBy("blob_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+@query(
+    r"""
+WITH e AS (SELECT doc_id AS key, n_chars AS bytes, TIMESTAMP '2024-01-31' - to_hours(CAST(doc_id % 900 AS INT)) AS modified FROM documents),
+y AS (SELECT * FROM e WHERE modified >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY), t AS (SELECT sum(bytes) AS total FROM y),
+r AS (SELECT key, sum(bytes) OVER (ORDER BY modified DESC, key ROWS UNBOUNDED PRECEDING) AS running FROM y)
+SELECT key FROM r, t WHERE total <= 500000 OR running <= 450000"""
+)
+def retention_size_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _table(spark, sf_dir, "documents").selectExpr("doc_id AS key", "n_chars AS bytes", "TIMESTAMP '2024-01-31' - make_interval(0, 0, 0, 0, CAST(doc_id % 900 AS INT)) AS modified")
+    return ranges.retain(entries, "2024-01-31", cap=500_000).select("key")
+
+
+# --- keys ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT c_name AS value, round({entropy_sql(DUCKDB, 'c_name')}, 6) AS entropy FROM (SELECT DISTINCT c_name FROM customer)")
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_name").distinct()
+    return rows.select(F.col("c_name").alias("value"), F.round(F.expr(entropy_sql(SPARK, "c_name")), 6).alias("entropy"))
+
+
+def _key_rows(d) -> str:
+    hashed = "md5(cast(p_partkey as string))" if d.spark else "md5(CAST(p_partkey AS VARCHAR))"
+    return f"(SELECT p_partkey, p_partkey % 10 AS blob_id, substr(concat(upper(substr({hashed}, 1, 9)), '!x', {hashed}), 1, CAST(13 + p_partkey % 22 AS INT)) AS value FROM part)"
+
+
+@query(
+    f"""
+WITH c AS (SELECT blob_id, value, p_partkey, {score_sql(DUCKDB, "value")} AS score FROM {_key_rows(DUCKDB)} WHERE {candidate_sql(DUCKDB, "value")}),
+r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY score DESC, p_partkey DESC) AS rank FROM c)
+SELECT blob_id, value, score, rank FROM r WHERE rank <= 5"""
+)
+def key_candidates_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best-scored key candidates of each group."""
+    _table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    rows = spark.sql(f"SELECT * FROM {_key_rows(SPARK)}").where(F.expr(candidate_sql(SPARK, "value"))).withColumn("score", F.expr(score_sql(SPARK, "value")))
+    order = Window.partitionBy("blob_id").orderBy(F.col("score").desc(), F.col("p_partkey").desc())
+    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("blob_id", "value", "score", "rank")

@@ -281,5 +281,8 @@ def case(d: Dialect, table: list[tuple[str | None, str]]) -> str:
 
 
 def kind_sql(d: Dialect, c: str = "value") -> str:
-    """The kind of column c, DEFER where bytes have to be decoded. c is a plain column name."""
-    return f"CASE WHEN {d.size(c)} > {LONG} THEN {case(d, prefix_rules(d, d.head(c, PREFIX)))} ELSE {case(d, rules(d, c))} END"
+    """The kind of column c, DEFER where bytes have to be decoded. c is a plain column name.
+
+    Short words of plain letters, the bulk of any text, meet no rule: one pattern sets them aside.
+    """
+    return f"CASE WHEN {d.match(c, '^[A-Za-z]?[a-z]{0,14}$')} THEN NULL WHEN {d.size(c)} > {LONG} THEN {case(d, prefix_rules(d, d.head(c, PREFIX)))} ELSE {case(d, rules(d, c))} END"

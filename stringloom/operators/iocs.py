@@ -47,42 +47,79 @@ def canonical_ipv6(s: str) -> str | None:
     return str(ip)
 
 
-@F.pandas_udf(StringType())
-def _ipv6(v: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else canonical_ipv6(x) for x in v], dtype=object)
-
-
 # --- hostnames ----------------------------------------------------------------------------
 
 
-def public_suffixes(spark: SparkSession) -> DataFrame:
-    """(suffix, rule) of the public suffix list that ships with Spark's own libraries.
+def public_suffixes(spark: SparkSession) -> dict[str, str]:
+    """suffix -> rule of the public suffix list that ships with Spark's own libraries.
 
-    rule: normal, wildcard (any one label in front) or exception. A fixed list of some thousand
-    rows, read on the driver from the class path.
+    A rule is normal, wildcard (any one label in front) or exception. Some ten thousand entries,
+    whatever the data.
     """
     names = ("mozilla/public-suffix-list.txt", "org/publicsuffix/list/effective_tld_names.dat")
-    loader = spark.sparkContext._jvm.Thread.currentThread().getContextClassLoader()
-    text = ""
+    jvm = spark.sparkContext._jvm
+    loader, text = jvm.Thread.currentThread().getContextClassLoader(), ""
     for name in names:
         stream = loader.getResourceAsStream(name)
         if stream is not None:
-            scanner = spark.sparkContext._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
+            scanner = jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
             text = scanner.next() if scanner.hasNext() else ""
             stream.close()
             break
-    rows = []
-    for line in (text.split("\n") if text else ["com", "net", "org", "io", "dev", "edu", "gov"]):
+    out = {}
+    for line in text.split("\n") if text else ("com", "net", "org", "io", "dev", "edu", "gov"):
         word = line.strip().split(" ")[0]
         if not word or word.startswith("//"):
             continue
         rule = "wildcard" if word.startswith("*.") else "exception" if word.startswith("!") else "normal"
         word = word.removeprefix("*.").removeprefix("!").lower()
         try:
-            rows.append((word.encode("idna").decode() if not word.isascii() else word, rule))
+            out[word if word.isascii() else word.encode("idna").decode()] = rule
         except UnicodeError:
             continue
-    return spark.createDataFrame(sorted(set(rows)), "suffix string, rule string")
+    return out
+
+
+_suffixes: dict[str, object] = {}
+
+
+def shared_suffixes(spark: SparkSession):
+    app = spark.sparkContext.applicationId
+    if app not in _suffixes:
+        _suffixes[app] = spark.sparkContext.broadcast(public_suffixes(spark))
+    return _suffixes[app]
+
+
+def registrable(host: str, suffixes: dict[str, str]) -> bool:
+    """Whether something stands in front of the host's longest public suffix; onion services are exempt."""
+    labels = host.split(".")
+    if labels[-1] == "onion":
+        return len(labels[-2]) == 56 and not set(labels[-2]) - set("abcdefghijklmnopqrstuvwxyz234567")
+    best = 0
+    for k in range(1, len(labels) + 1):
+        rule = suffixes.get(".".join(labels[-k:]))
+        if rule == "exception":
+            return True
+        best = max(best, k + (rule == "wildcard")) if rule else best
+    return 0 < best < len(labels)
+
+
+def _network(spark: SparkSession):
+    """Canonical IPv6 address or registrable host name, else null; a null costs nothing."""
+    shared = shared_suffixes(spark)
+
+    @F.pandas_udf(StringType())
+    def run(v: pd.Series) -> pd.Series:
+        known, suffixes = {}, shared.value
+        out = pd.Series([None] * len(v), dtype=object)
+        for i in v.index[v.notna()]:
+            x = v[i]
+            if x not in known:
+                known[x] = canonical_ipv6(x) if ":" in x else (x if registrable(x, suffixes) else None)
+            out[i] = known[x]
+        return out
+
+    return run.asNondeterministic()  # else the filter on its result makes Spark run it twice
 
 
 LABEL = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
@@ -93,25 +130,6 @@ def hostname_shape(d: Dialect, c: str) -> str:
     return both(f"{d.size(c)} BETWEEN 1 AND 253", d.match(c, rf"^{LABEL}(\.{LABEL})+$"))
 
 
-def with_registrable(hosts: DataFrame, host: str = "host") -> DataFrame:
-    """Rows whose host is a registrable name under a known suffix, or an onion service.
-
-    Each host's suffixes (as many as it has labels) are looked up in the fixed suffix table.
-    """
-    spark = hosts.sparkSession
-    suffixes = F.broadcast(public_suffixes(spark))
-    labels = F.split(host, r"\.")
-    distinct = hosts.select(host).distinct()
-    cut = distinct.select(host, F.size(labels).alias("n"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k"))
-    cut = cut.withColumn("suffix", F.array_join(F.slice(F.split(host, r"\."), F.col("n") - F.col("k") + 1, F.col("k")), "."))
-    hit = cut.join(suffixes, "suffix")
-    length = F.when(F.col("rule") == "wildcard", F.col("k") + 1).when(F.col("rule") == "exception", F.col("k") - 1).otherwise(F.col("k"))
-    best = hit.groupBy(host).agg(F.max(F.when(F.col("rule") == "exception", F.col("k") + 100).otherwise(length)).alias("m"), F.max("n").alias("n"))
-    known = best.where(F.when(F.col("m") > 100, True).otherwise(F.col("n") > F.col("m"))).select(host)
-    onion = distinct.where(F.col(host).rlike(r"(^|\.)[a-z2-7]{56}\.onion$"))
-    return hosts.join(known.unionByName(onion).distinct(), host, "left_semi")
-
-
 # --- paths --------------------------------------------------------------------------------
 
 
@@ -140,38 +158,43 @@ AUTHORITY = r"[A-Za-z][A-Za-z0-9+.-]*://([^ \t\n\x0b\f\r/?#\"'<>]*)"
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """(…row, ioc_kind, ioc_value, port) for what each row points at.
+    """(...row, ioc_kind, ioc_value, port) for what each row points at, in one pass.
 
     Key rows give keys, path rows paths and nothing else; all other rows give the authorities of
     their URLs, and the value itself where it is an endpoint or typed as address or host.
     """
-    base = rows.where(F.col("method") != "CodeSignature")
     kind = F.coalesce(F.col("kind"), F.lit(""))
-    keys = base.where((kind == "XorKey") & (F.octet_length("value") <= 4096)).select("*", F.lit("key").alias("ioc_kind"), key_text(F.col("value"), F.col("method")).alias("ioc_value"), F.lit(None).cast("int").alias("port"))
     is_path = kind.isin("Path", "SuspiciousPath") & (F.col("method") != "PclntabSymbol")
     drive = F.when(F.col("value").rlike(r"^[A-Za-z]:"), F.concat(F.upper(F.substring("value", 1, 1)), F.expr("substr(value, 2)"))).otherwise(F.col("value"))
-    paths = base.where(is_path & F.expr(ioc_path(SPARK, "value"))).select("*", F.lit("path").alias("ioc_kind"), drive.alias("ioc_value"), F.lit(None).cast("int").alias("port"))
-
-    rest = base.where((kind != "XorKey") & ~is_path)
-    whole = F.when(kind.isin("IP", "IPPort", "Hostname") | F.col("value").rlike(r"^[^ /]+:[0-9]{1,5}$"), F.array(F.struct(F.col("value").alias("a"), F.lit(True).alias("bare")))).otherwise(F.array().cast("array<struct<a:string,bare:boolean>>"))
-    urls = F.transform(F.regexp_extract_all("value", F.lit(AUTHORITY), 1), lambda a: F.struct(a.alias("a"), F.lit(False).alias("bare")))
-    found = rest.where(F.col("value").contains("://") | (F.size(whole) > 0)).select("*", F.explode(F.concat(urls, whole)).alias("__x")).select("*", F.col("__x.bare").alias("__bare"), F.regexp_replace("__x.a", "^.*@", "").alias("__a")).drop("__x")
+    find = lambda k, a, bare: F.struct(F.lit(k).alias("k"), a.alias("a"), F.lit(bare).alias("bare"))
+    none = F.array().cast("array<struct<k:string,a:string,bare:boolean>>")
+    whole = F.when(kind.isin("IP", "IPPort", "Hostname") | F.col("value").rlike(r"^[^ /]+:[0-9]{1,5}$"), F.array(find("net", F.col("value"), True))).otherwise(none)
+    urls = F.when(F.col("value").contains("://"), F.transform(F.regexp_extract_all("value", F.lit(AUTHORITY), 1), lambda a: find("net", a, False))).otherwise(none)
+    finds = (
+        F.when((kind == "XorKey") & (F.octet_length("value") <= 4096), F.array(find("key", key_text(F.col("value"), F.col("method")), False)))
+        .when(is_path & F.expr(ioc_path(SPARK, "value")), F.array(find("path", drive, False)))
+        .when((kind != "XorKey") & ~is_path, F.concat(urls, whole))
+        .otherwise(none)
+    )
+    found = rows.where(F.col("method") != "CodeSignature").select("*", F.explode(finds).alias("__x"))
+    found = found.select("*", F.col("__x.k").alias("__k"), F.col("__x.bare").alias("__bare"), F.when(F.col("__x.k") == "net", F.regexp_replace("__x.a", "^.*@", "")).otherwise(F.col("__x.a")).alias("__a")).drop("__x")
     v6, port6 = F.regexp_extract("__a", r"^\[([0-9A-Fa-f:.]+)\](?::([0-9]+))?$", 1), F.regexp_extract("__a", r"^\[[0-9A-Fa-f:.]+\](?::([0-9]+))?$", 1)
     bare6 = F.col("__a").rlike("^[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f.]*$")
     host = F.when(v6 != "", v6).when(bare6, F.col("__a")).otherwise(F.regexp_extract("__a", r"^([^:]*)(?::([0-9]+))?$", 1))
     port = F.when(v6 != "", port6).when(bare6, F.lit("")).otherwise(F.regexp_extract("__a", r"^[^:]*:([0-9]+)$", 1))
-    found = found.withColumns({"__host": F.regexp_replace(F.lower(host), r"\.$", ""), "__port": port}).where("__host != ''")
-    found = found.withColumn("port", F.expr("try_cast(nullif(__port, '') AS INT)")).where("__port = '' OR port BETWEEN 1 AND 65535")
+    net = F.col("__k") == "net"
+    found = found.withColumns({"__host": F.when(net, F.regexp_replace(F.lower(host), r"\.$", "")), "__port": F.when(net, port)})
+    found = found.withColumn("port", F.expr("try_cast(nullif(__port, '') AS INT)")).where(~net | ((F.col("__host") != "") & ((F.col("__port") == "") | F.col("port").between(1, 65535))))
+    found = found.withColumn("__v4", net & F.expr(external_ipv4(SPARK, "__host", "(__bare AND port IS NULL)")))
     is_v6 = F.col("__host").contains(":")
-    v4 = found.where(F.expr(external_ipv4(SPARK, "__host", "(__bare AND port IS NULL)"))).withColumns({"ioc_kind": F.lit("ip"), "ioc_value": F.col("__host")})
-    six = found.where(is_v6).withColumns({"ioc_kind": F.lit("ip"), "ioc_value": _ipv6("__host")}).where("ioc_value IS NOT NULL")
-    named = found.where(~is_v6 & F.expr(hostname_shape(SPARK, "__host")) & ~F.col("__host").rlike(r"^[0-9.]+$"))
-    named = with_registrable(named, "__host").where(~(F.col("method").isin(*L.METADATA_METHODS) & metadata_host(F.col("__host")))).withColumns({"ioc_kind": F.lit("hostname"), "ioc_value": F.col("__host")})
-    names = [*rows.columns, "ioc_kind", "ioc_value", "port"]
-    out = keys.select(names)
-    for part in (paths, v4, six, named):
-        out = out.unionByName(part.select(names))
-    return out
+    named = F.expr(hostname_shape(SPARK, "__host")) & ~F.col("__host").rlike(r"^[0-9.]+$") & ~(F.col("method").isin(*L.METADATA_METHODS) & metadata_host(F.col("__host")))
+    ask = _network(rows.sparkSession)(F.when(net & ~F.col("__v4") & (is_v6 | named), F.col("__host")))
+    found = found.withColumn("__net", ask)
+    found = found.withColumns({
+        "ioc_kind": F.when(~net, F.col("__k")).when(F.col("__v4") | F.col("__net").contains(":"), F.lit("ip")).otherwise(F.lit("hostname")),
+        "ioc_value": F.when(~net, F.col("__a")).when(F.col("__v4"), F.col("__host")).otherwise(F.col("__net")),
+    })
+    return found.where(F.col("ioc_value").isNotNull()).select(*rows.columns, "ioc_kind", "ioc_value", "port")
 
 
 def metadata_host(host: Column) -> Column:

@@ -56,9 +56,13 @@ PACKED = (
 )
 
 
+def _named(name: str):
+    return lambda x: F.struct(F.lit(name).alias("pattern"), x.alias("value"))
+
+
 def packed_patterns(blobs: DataFrame, text: str = "text", min_length: int = 4) -> DataFrame:
     """(blob_id, pattern, value): distinct finds of each pattern that aren't mostly digits or short hex."""
-    finds = F.concat(*(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 0)), lambda x, n=n: F.struct(F.lit(n).alias("pattern"), x.alias("value"))) for n, p in PACKED))
+    finds = F.concat(*(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 0)), _named(n)) for n, p in PACKED))
     rows = blobs.select(KEY, F.explode(finds).alias("f")).select(KEY, "f.pattern", "f.value")
     digits = F.octet_length(F.regexp_replace("value", "[^0-9]", ""))
     short_hex = (F.octet_length("value") < 8) & F.col("value").rlike("^[0-9a-f]+$")
