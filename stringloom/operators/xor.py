@@ -60,6 +60,16 @@ def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
                 yield value, low + s, e - s, bytes([key])
 
 
+def _echo(value: str, key: bytes) -> bool:
+    """Whether a value is the key itself shining through constant data, in any phase."""
+    k = key.decode("latin-1").strip().lower()
+    low = value.lower()
+    if len(key) > 1 and len(k) == len(key):
+        turns = {(k + k)[i : i + len(k)] for i in range(len(k))}
+        return sum(low.count(t) for t in turns) * len(k) * 2 >= len(value)
+    return len(set(low)) * 4 <= len(value)
+
+
 def keyed_finds(data: bytes, key: bytes, min_length: int = MIN_LENGTH) -> Iterator[tuple[str, int, int, bytes]]:
     """Printable runs of the data under a repeated key, for each phase of the key; the longest first where they meet."""
     if not data or not key:
@@ -75,7 +85,7 @@ def keyed_finds(data: bytes, key: bytes, min_length: int = MIN_LENGTH) -> Iterat
             if e - s >= min_length:
                 value = plain[s:e].tobytes().decode("ascii")
                 letters = sum(c.isalnum() or c in " /._-:" for c in value)
-                if letters * 10 >= len(value) * 8 and value.encode() not in key * 3:
+                if letters * 10 >= len(value) * 8 and not _echo(value, key):
                     found.append((e - s, s, value))
     taken: list[tuple[int, int]] = []
     for n, s, value in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
@@ -97,6 +107,8 @@ def rolling_finds(data: bytes, most: int = 4) -> Iterator[tuple[str, int, int, b
         for n in range(2, min(most, len(a) - 1) + 1):
             periodic = (stream[:, n:] == stream[:, :-n]).all(axis=1) & (stream[:, :n] != stream[:, :1]).any(axis=1)
             for at in np.flatnonzero(periodic).tolist():
+                if len(set(data[at : at + len(a)])) < 4:
+                    continue  # constant data under a key made of the anchor itself
                 key = np.roll(stream[at, :n], at % n).tobytes()
                 found.setdefault(key, []).append(at)
     for key, places in sorted(found.items()):
