@@ -11,7 +11,11 @@ from stringloom.functions import lexicon as L
 from stringloom.functions.classify import DEFER, kind_sql
 from stringloom.functions.dialect import DUCKDB, SPARK
 from stringloom.functions.keys import candidate_sql, entropy_sql, score_sql
-from stringloom.operators import decode, iocs, kinds, ranges, text
+from stringloom.functions.garbage import garbage_sql
+from stringloom.operators import binary, decode, iocs, kinds, ranges, script, text, xor
+from stringloom.operators.garbage import is_garbage
+from stringloom.plans.pipeline import Options, extract
+from stringloom.samples import XOR_KEY, make
 from stringloom.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,3 +404,164 @@ def key_candidates_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"SELECT * FROM {_key_rows(SPARK)}").where(F.expr(candidate_sql(SPARK, "value"))).withColumn("score", F.expr(score_sql(SPARK, "value")))
     order = Window.partitionBy("blob_id").orderBy(F.col("score").desc(), F.col("p_partkey").desc())
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("blob_id", "value", "score", "rank")
+
+
+# --- noise --------------------------------------------------------------------------------
+
+
+@query(
+    TOKENS_SQL
+    + f""", k AS (SELECT value, CASE WHEN {kind_sql(DUCKDB)} = '{DEFER}' THEN NULL ELSE {kind_sql(DUCKDB)} END AS kind FROM t), g AS (SELECT {garbage_sql(DUCKDB)} AS garbage FROM k)
+SELECT garbage, count(*) AS n FROM g GROUP BY garbage"""
+)
+def garbage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that the noise filter drops and keeps."""
+    native = kinds.native_kind()
+    rows = _tokens(spark, sf_dir).select("value", F.when(native != DEFER, native).alias("kind"))
+    return rows.select(is_garbage("value").alias("garbage")).groupBy("garbage").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- bytes: texts hidden in blobs come back ----------------------------------------------
+
+
+def _blobs(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("blob_id"), make(how, _plain()).alias("content"))
+
+
+TEXT_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('Note for the part of brand ', p_brand, ': ', p_name) AS value FROM part"
+
+
+@query(TEXT_SQL)
+def xor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xor.with_key(_blobs(spark, sf_dir, "xor"), XOR_KEY).where(F.col("data_offset") == 0).select("blob_id", "value")
+
+
+@query(r"SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('see http://h', strlen(concat('Note for the part of brand ', p_brand, ': ', p_name)), '.example.com/', replace(replace(concat('Note for the part of brand ', p_brand, ': ', p_name), ' ', '_'), '#', '')) AS value FROM part")
+def xor_single_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key isn't given: the scan finds it by its anchors."""
+    return xor.single_byte(_blobs(spark, sf_dir, "single")).where("hex(key) = '5A'").select("blob_id", "value")
+
+
+@query(TEXT_SQL)
+def wide_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.scan_rows(_blobs(spark, sf_dir, "wide"), binary.wide_strings).select("blob_id", "value")
+
+
+@query(TEXT_SQL)
+def fat_pointer_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.extract_blobs(_blobs(spark, sf_dir, "pointer")).where("method = 'Structure'").select("blob_id", "value")
+
+
+@query(TEXT_SQL)
+def stack_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.extract_blobs(_blobs(spark, sf_dir, "stack")).where("method = 'StackString'").select("blob_id", "value")
+
+
+@query(TEXT_SQL)
+def inline_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.extract_blobs(_blobs(spark, sf_dir, "inline")).where("method = 'InstructionPattern'").select("blob_id", "value")
+
+
+@query(TEXT_SQL)
+def overlay_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.extract_blobs(_blobs(spark, sf_dir, "overlay")).where("kind = 'Overlay'").select("blob_id", "value")
+
+
+@query(
+    r"""
+WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS blob_id, unnest(string_split(replace(replace(concat('Note for the part of brand ', p_brand, ': ', p_name), '#', '.'), ':', ''), ' ')) AS value FROM part)
+SELECT DISTINCT blob_id, value FROM w WHERE strlen(value) >= 4"""
+)
+def name_table_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.extract_blobs(_blobs(spark, sf_dir, "names")).where("method = 'PclntabSymbol'").select("blob_id", "value").distinct()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('45.133.', 200 + strlen(concat('Note for the part of brand ', p_brand, ': ', p_name)) % 50, '.', 3 + 78 % 20, ':443') AS value FROM part")
+def socket_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.extract_blobs(_blobs(spark, sf_dir, "socket")).where("kind = 'IPPort'").select("blob_id", "value")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS blob_id, '.rodata' AS name, CAST(strlen(concat('Note for the part of brand ', p_brand, ': ', p_name)) + 1 AS BIGINT) AS size, false AS is_exec FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), '.data', 16, false FROM part")
+def section_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binary.catalogue(_blobs(spark, sf_dir, "pointer")).where("what = 'section' AND name IN ('.rodata', '.data')")
+    return rows.select("blob_id", "name", (F.col("end") - F.col("start")).alias("size"), "is_exec")
+
+
+@query(TEXT_SQL)
+def base32_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.base32_rows(_hidden(spark, sf_dir, "base32")).select("blob_id", "value")
+
+
+@query()
+def base85_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only decodings that read better than their input by more than five points are given."""
+    return decode.base85_rows(_hidden(spark, sf_dir, "base85")).select("blob_id", "value")
+
+
+def _hidden(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    rows = _blobs(spark, sf_dir, how).select("blob_id", F.decode("content", "UTF-8").alias("value"))
+    return rows.withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("RawScan"), "kind": F.lit(None).cast("string")})
+
+
+@query(TEXT_SQL)
+def fuzzy_b64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base64 behind an assignment, without its padding."""
+    token = F.regexp_replace(F.base64(F.encode(_plain(), "UTF-8")), "[=\r\n]", "")
+    rows = _encoded(spark, sf_dir, F.concat(F.lit("$x = '"), token, F.lit("';"))).withColumn("blob_id", F.col("blob_id").cast("string"))
+    return decode.fuzzy_base64_rows(rows).select("blob_id", "value")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('Note for the part of brand ', p_brand, ': ', p_name) AS decoded, 'base64+zlib' AS chain, 'python' AS language FROM part")
+def script_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _blobs(spark, sf_dir, "script").select("blob_id", F.decode("content", "UTF-8").alias("text"))
+    return script.deobfuscate(rows).where("depth = 0").select("blob_id", "decoded", "chain", "language")
+
+
+@query(
+    f"""
+WITH s AS (SELECT html AS t FROM pages UNION ALL SELECT concat('import os', chr(10), 'exec(', p_name, ')') FROM part UNION ALL SELECT concat('<?php echo ', p_name) FROM part
+  UNION ALL SELECT concat('$env:X; iex ', p_name) FROM part UNION ALL SELECT concat('var a = atob(', p_name, ')') FROM part)
+SELECT coalesce({script.language_sql()}, 'none') AS language, count(*) AS n FROM s GROUP BY ALL"""
+)
+def script_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, part = _table(spark, sf_dir, "pages").select(F.col("html").alias("t")), _table(spark, sf_dir, "part")
+    for start, end in (("import os\nexec(", ")"), ("<?php echo ", ""), ("$env:X; iex ", ""), ("var a = atob(", ")")):
+        pages = pages.unionByName(part.select(F.concat(F.lit(start), "p_name", F.lit(end)).alias("t")))
+    return pages.groupBy(F.coalesce(script.language(F.col("t")), F.lit("none")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_name AS value FROM part")
+def rot13_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    turn = lambda c: F.translate(c, upper + lower, upper[13:] + upper[:13] + lower[13:] + lower[:13])
+    return _table(spark, sf_dir, "part").select("p_partkey", turn(turn(F.col("p_name"))).alias("value"))
+
+
+@query()
+def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy choice among overlapping intervals made from orders."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey AS blob_id", "o_orderkey % 500 AS data_offset", "CAST(10 + o_orderkey % 40 AS INT) AS data_len", "o_orderpriority AS value", "CAST(o_orderkey % 3 AS INT) AS rank")
+    return ranges.resolve_overlaps(rows.dropDuplicates(["blob_id", "data_offset", "data_len"])).select("blob_id", "data_offset", "data_len", "rank")
+
+
+@query()
+def full_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of all lines, those included that need bytes decoded."""
+    rows = kinds.with_kind(text.line_rows(_documents(spark, sf_dir)))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over page sources as blobs."""
+    blobs = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.encode("html", "UTF-8").alias("content"))
+    return extract(blobs, Options(drop_garbage=True))
+
+
+@query()
+def page_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of page URLs and sources."""
+    pages = _table(spark, sf_dir, "pages")
+    blobs = pages.select(F.col("page_id").cast("string").alias("blob_id"), F.encode(F.concat_ws("\n", "url", "html"), "UTF-8").alias("content"))
+    found = iocs.extract_iocs(extract(blobs))
+    return found.select("kind", "value", "count", F.array_join(F.transform("ports", lambda p: p.cast("string")), ",").alias("ports"))

@@ -16,19 +16,16 @@ LONG, PREFIX = 1000, 256
 BASE58 = "1-9A-HJ-NP-Za-km-z"
 
 
-def octet_tests(d: Dialect, c: str) -> list[str]:
-    return [d.number(d.part(c, ".", i)) for i in range(1, 5)]
+OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def ipv4(d: Dialect, c: str) -> str:
-    """Four decimal octets that do not read as a version number."""
-    a, b, e, f = octet_tests(d, c)
-    shape = both(d.match(c, r"^\+?[0-9]+\.\+?[0-9]+\.\+?[0-9]+\.\+?[0-9]+$"), *(f"{x} BETWEEN 0 AND 255" for x in (a, b, e, f)))
-    private = either(f"{a} = 10", both(f"{a} = 172", f"{b} BETWEEN 16 AND 31"), both(f"{a} = 192", f"{b} = 168"))
-    zeros = count_true(*(f"{x} = 0" for x in (a, b, e, f)))
-    known = either(*(both(*(f"{x} = {n}" for x, n in zip((a, b, e, f), ip.split("."), strict=True))) for ip in L.PUBLIC_RESOLVERS))
-    version = either(both(f"{e} = 0", f"{f} = 0"), both(f"NOT {private}", either(both(f"{b} = 0", f"{e} < 20", f"{f} < 20"), f"{zeros} >= 2")), f"{a} = 127", both(f"{a} = 2", f"{b} = 5"))
-    return f"coalesce({both(shape, either(known, f'NOT {version}'))}, false)"
+    """Four decimal octets (a sign and leading zeros are read over) that don't read as a version number."""
+    plain = d.replace(c, r"(^|\.)\+?0+([0-9])", "$1$2" if d.spark else r"\1\2")
+    low = "1?[0-9]"
+    private = d.match(plain, r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.)")
+    version = either(d.match(plain, r"\.0\.0$|^127\.|^2\.5\."), both(f"NOT {private}", d.match(plain, rf"^[0-9]+\.0\.{low}\.{low}$|(^|\.)0\.([0-9]+\.)?([0-9]+\.)?0(\.|$)")))
+    return both(d.match(c, r"^\+?[0-9]+(\.\+?[0-9]+){3}$"), d.match(plain, rf"^{OCTET}(\.{OCTET}){{3}}$"), either(d.among(plain, L.PUBLIC_RESOLVERS), f"NOT {version}"))
 
 
 def suspicious_path(d: Dialect, c: str) -> str:
@@ -88,12 +85,8 @@ def shell_command(d: Dialect, c: str) -> str:
     quoted = d.extract(c, r"^`([^`]*)`", 1)
     tick = both(d.match(c, r"^`[^`]+`"), f"NOT {d.has(c, chr(92) + '`')}", d.has(quoted, " "), f"NOT {d.starts(quoted, 'go ')}", f"NOT {d.has(quoted, ' doc ')}", f"{d.percent(d.count(quoted, '\\x00-\\x7f'), d.size(quoted))} > 90")
 
-    def first_is_word(piece: str) -> str:
-        at = f"{'instr' if d.spark else 'strpos'}({c}, {d.lit(piece)})"
-        return either(d.starts(c, piece), both(d.has(c, piece), f"substr({c}, greatest({at} - 1, 1), 1) = ' '", f"{at} > 1"))
-
     service = d.match(c, f"(^| )service ({'|'.join(L.SERVICE_ACTIONS)})")
-    commands = either(*(first_is_word(x) for x in L.SHELL_COMMANDS), service)
+    commands = either(both(d.match(c, "(^| )(" + "|".join(L.SHELL_COMMANDS) + ")"), d.first_is_word(c, L.SHELL_COMMANDS)), service)
     yes = either(
         d.has(c, *L.SHELL_REDIRECTS), both(d.has(c, " | "), either(d.has(c, *L.SHELL_PIPES), d.starts(c, "ls ", "find ", "ps "))), both(d.has(c, " && "), d.has(c, "cd ", "mkdir ", "rm ")),
         subshell(d, c), tick, commands,

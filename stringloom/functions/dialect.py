@@ -65,6 +65,13 @@ class Dialect:
     def part(self, c: str, sep: str, n: int) -> str:
         return f"split_part({c}, {self.lit(sep)}, {n})"
 
+    def first_is_word(self, c: str, words: Iterable[str]) -> str:
+        """Whether the first occurrence of any of the words stands at the start or behind a blank."""
+        items = ", ".join(self.lit(w) for w in words)
+        at = f"{'instr' if self.spark else 'strpos'}({c}, w)"
+        test = f"{at} = 1 OR ({at} > 1 AND substr({c}, {at} - 1, 1) = ' ')"
+        return f"exists(array({items}), w -> {test})" if self.spark else f"list_bool_or(list_transform([{items}], lambda w: {test}))"
+
     def number(self, c: str) -> str:
         return f"try_cast({c} AS INT)"
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,23 +61,31 @@ def islands(rows: DataFrame, gap: int, start: str = "start", end: str = "end") -
 def resolve_overlaps(rows: DataFrame, rank: str = "rank") -> DataFrame:
     """Greedy choice of rows that don't overlap: lower rank, then longer, then earlier.
 
-    Each island of overlapping rows is settled on its own: a group is no larger than one pile of
-    overlapping finds.
+    Rows of an island of overlaps follow each other in the order of choice; a task holds the spans
+    chosen so far in one island.
     """
     length = F.when(F.col("data_len") > 0, F.col("data_len")).otherwise(F.octet_length("value"))
     placed = rows.withColumns({"start": F.col("data_offset"), "end": F.col("data_offset") + length})
     placed = islands(placed, -1)
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__n=pdf["end"] - pdf["start"]).sort_values([rank, "__n", "start", "value"], ascending=[True, False, True, True])
-        kept, spans = [], []
-        for i, (s, e) in enumerate(zip(pdf["start"], pdf["end"], strict=True)):
-            if all(e <= a or s >= b for a, b in spans):
-                kept.append(i)
-                spans.append((s, e))
-        return pdf.iloc[kept].drop(columns="__n").sort_values("start")
-
-    return placed.groupBy(KEY, "island").applyInPandas(choose, placed.schema).drop("start", "end", "island")
+    placed = placed.withColumn("__n", F.col("start") - F.col("end"))
+    placed = placed.repartition(KEY, "island").sortWithinPartitions(KEY, "island", rank, "__n", "start", "value")
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pile, spans = None, []
+        for batch in batches:
+            keep = []
+            for key, island, s, e in zip(batch[KEY], batch["island"], batch["start"], batch["end"], strict=True):
+                if (key, island) != pile:
+                    pile, spans = (key, island), []
+                at = bisect_left(spans, (s, e))
+                free = (at == 0 or spans[at - 1][1] <= s) and (at == len(spans) or e <= spans[at][0])
+                if free:
+                    spans.insert(at, (s, e))
+                keep.append(free)
+            yield batch[keep]
+
+    return placed.mapInPandas(choose, placed.schema).drop("start", "end", "island", "__n")
 
 
 def retain(entries: DataFrame, now: str, days: int = 30, cap: int = 2 << 30, share: float = 0.9) -> DataFrame:

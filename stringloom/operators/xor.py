@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,25 +41,41 @@ def _run_around(plain: bytes, at: int, size: int) -> tuple[int, int]:
     return start, end
 
 
+@cache
+def _automaton(growing: bool):
+    """All anchors under all one-byte keys; growing: under keys that grow by one a byte, by their first value."""
+    words: dict[str, list[tuple[int, int]]] = {}
+    for key in range(256):
+        for a in ANCHORS:
+            word = bytes(b ^ ((key + j * growing) & 255) for j, b in enumerate(a)).decode("latin-1")
+            words.setdefault(word, []).append((key, len(a)))
+    found = ahocorasick.Automaton()
+    for word, keys in words.items():
+        found.add_word(word, keys)
+    found.make_automaton()
+    return found
+
+
+def _hits(data: bytes, growing: bool) -> list[tuple[int, int, int]]:
+    """(key, place, size) of the anchors in one pass over the data."""
+    return sorted((key, end + 1 - size, size) for end, keys in _automaton(growing).iter(data.decode("latin-1")) for key, size in keys)
+
+
 def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
-    """Printable runs around an anchor, for each of 254 keys; runs of the unmasked text don't count."""
+    """Printable runs around an anchor, for each key but 0 and the case flip."""
     if not data or len(data) > SCAN_LIMIT:
         return
-    raw = np.frombuffer(data, np.uint8)
-    for key in range(1, 256):
-        if key == SKIP_KEY:
+    raw, seen = np.frombuffer(data, np.uint8), set()
+    for key, at, size in _hits(data, False):
+        if key in (0, SKIP_KEY):
             continue
-        masked = [bytes(b ^ key for b in a) for a in ANCHORS]
-        hits = [(m.start(), len(a)) for a in masked for m in re.finditer(re.escape(a), data)]
-        seen = set()
-        for at, size in sorted(hits):
-            low, high = max(0, at - REACH), min(len(data), at + size + REACH)
-            plain = (raw[low:high] ^ key).tobytes()
-            s, e = _run_around(plain, at - low, size)
-            value = plain[s:e].decode("ascii").strip()
-            if len(value) >= MIN_LENGTH and (low + s, value) not in seen:
-                seen.add((low + s, value))
-                yield value, low + s, e - s, bytes([key])
+        low, high = max(0, at - REACH), min(len(data), at + size + REACH)
+        plain = (raw[low:high] ^ np.uint8(key)).tobytes()
+        s, e = _run_around(plain, at - low, size)
+        value = plain[s:e].decode("ascii").strip()
+        if len(value) >= MIN_LENGTH and (key, low + s) not in seen:
+            seen.add((key, low + s))
+            yield value, low + s, e - s, bytes([key])
 
 
 def _echo(value: str, key: bytes) -> bool:
@@ -124,20 +142,16 @@ def incremental_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
     """Runs under a key that grows by one a byte, from any seed."""
     if not data or len(data) > SCAN_LIMIT:
         return
-    raw = np.frombuffer(data, np.uint8)
-    ramp = np.arange(len(data), dtype=np.int64)
-    for seed in range(1, 256):
-        plain = raw ^ ((ramp + seed) & 255).astype(np.uint8)
-        text = plain.tobytes()
-        done = -1
-        for m in sorted((m.start(), len(a)) for a in ANCHORS for m in re.finditer(re.escape(a), text)):
-            if m[0] < done:
-                continue
-            s, e = _run_around(text, *m)
-            done = e
-            value = text[s:e].decode("ascii").strip()
-            if len(value) >= MIN_LENGTH:
-                yield value, s, e - s, bytes([seed])
+    raw, seen = np.frombuffer(data, np.uint8), set()
+    for first, at, size in _hits(data, True):
+        seed = (first - at) & 255
+        low, high = max(0, at - REACH), min(len(data), at + size + REACH)
+        plain = (raw[low:high] ^ ((np.arange(low, high) + seed) & 255).astype(np.uint8)).tobytes()
+        s, e = _run_around(plain, at - low, size)
+        value = plain[s:e].decode("ascii").strip()
+        if seed and len(value) >= MIN_LENGTH and (seed, low + s) not in seen:
+            seen.add((seed, low + s))
+            yield value, low + s, e - s, bytes([seed])
 
 
 def scan(blobs: DataFrame, finder, content: str = "content") -> DataFrame:
