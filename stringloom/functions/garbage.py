@@ -43,7 +43,7 @@ def garbage_rules(d: Dialect, c: str, kind: str) -> list[tuple[bool, str]]:
         (False, d.match(c, r"^_?\$s[0-9A-Za-z_]{6,}$|^_Z[0-9A-Za-z_]{4,}$")),
         (False, d.match(c, r"^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$")),
         (False, d.match(c, r"^[a-z]{2,3}[_-][A-Z]{2,3}$|^\*\.[A-Za-z0-9]{1,5}$")),
-        (False, both(hexed, d.match(c, "[0-9]"))),
+        (False, both(hexed, d.match(c, "[0-9]"), d.match(c, "(?i)[a-f]"))),
         (True, both(f"{n} >= 8", f"{digit} >= 6", f"{alpha} <= 2")),
         (True, both(f"{n} BETWEEN 4 AND 10", f"{upper} = 0", f"{lower} >= 3", f"{digit} >= 1", f"NOT {d.match(c, '[aeiou]')}")),
         (True, both(f"{n} BETWEEN 4 AND 5", f"{lower} = {n}", f"{vowels} <= 1", f"NOT {d.among(c, SHORT_WORDS)}")),

@@ -192,6 +192,6 @@ def parse(d: bytes) -> list[Container]:
             return [parse_macho(d)]
         if d[:4] == b"\xca\xfe\xba\xbe" and 0 < (n := struct.unpack_from(">I", d, 4)[0]) < 32:
             return [parse_macho(d, struct.unpack_from(">I", d, 8 + 20 * i + 8)[0]) for i in range(n)]
-    except (struct.error, IndexError):
+    except (struct.error, IndexError, OverflowError):
         pass
     return [Container()]
