@@ -48,16 +48,27 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["ioc_rollup"](spark, sf_dir)
 
 
+#: Text tables under so many bytes a core are dealt out, as a file of one row group is one task.
+SMALL = 16 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL * cores:
+        rows = rows.repartition(cores, rows.columns[0])
+    return rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), "text")
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.tokens(_documents(spark, sf_dir))
+def _tokens(spark: SparkSession, sf_dir: str, like: str | None = None) -> DataFrame:
+    return text.tokens(_documents(spark, sf_dir), like=like)
+
+
+DOTTED = "%.%.%.%"
 
 
 EDGE = "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$"
@@ -87,7 +98,7 @@ SELECT kind, value, count(*) AS count, coalesce(string_agg(DISTINCT port, ','),
 )
 def ioc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External addresses among the tokens of documents and hosts of page URLs, rolled up."""
-    words = _tokens(spark, sf_dir).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value", F.lit("IP").alias("kind"))
+    words = _tokens(spark, sf_dir, DOTTED).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value", F.lit("IP").alias("kind"))
     urls = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.col("url").alias("value"), F.lit("Url").alias("kind"))
     rows = words.unionByName(urls).withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("ScriptDecode")})
     found = iocs.matches(rows)
@@ -108,7 +119,7 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TOKENS_SQL + f"SELECT value, count(*) AS n, count(DISTINCT blob_id) AS docs FROM t WHERE {iocs.external_ipv4(DUCKDB, 'value', 'true')} GROUP BY value")
 def external_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("blob_id").alias("docs"))
+    return _tokens(spark, sf_dir, DOTTED).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("blob_id").alias("docs"))
 
 
 @query(
@@ -132,7 +143,7 @@ SELECT value, max(n) AS n, string_agg(CAST(blob_id AS VARCHAR), ',' ORDER BY blo
 )
 def first8_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight documents of each address; all are counted."""
-    rows = _tokens(spark, sf_dir).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value").distinct()
+    rows = _tokens(spark, sf_dir, DOTTED).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value").distinct()
     rows = rows.withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("ScriptDecode"), "ioc_kind": F.lit("ip"), "ioc_value": F.col("value"), "port": F.lit(None).cast("int")})
     return iocs.rollup(rows).select("value", F.col("count").alias("n"), F.array_join(F.transform("occurrences", lambda o: o["blob_id"].cast("string")), ",").alias("first"))
 

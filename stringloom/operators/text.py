@@ -34,9 +34,10 @@ def printable_runs(blobs: DataFrame, text: str = "text", min_length: int = 4) ->
     return found.groupBy(KEY, "value").agg(F.min("pos").alias("pos"), F.min_by(F.octet_length("run"), "pos").alias("data_len")).withColumn("method", F.lit("RawScan"))
 
 
-def tokens(blobs: DataFrame, text: str = "text") -> DataFrame:
-    """White-space separated tokens without the signs at their edges."""
+def tokens(blobs: DataFrame, text: str = "text", like: str | None = None) -> DataFrame:
+    """White-space separated tokens without the signs at their edges; like: a cheap test of the raw word first."""
     words = blobs.select(KEY, F.posexplode(F.split(text, r"[ \t\n\r\f]+", -1)).alias("pos", "word"))
+    words = words.where(F.col("word").like(like)) if like else words
     return words.select(KEY, "pos", F.regexp_replace("word", r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "").alias("value")).where("value != ''")
 
 
