@@ -107,3 +107,36 @@ def few_or_none(rows: DataFrame, most: int = 4) -> DataFrame:
 
 
 __all__ = ["few_or_none", "in_ranges", "islands", "merge_symbols", "resolve_overlaps", "retain", "strip_length_byte", "suppress_spans", "without_known"]
+
+
+# What property lists and certificates are told by.
+PLIST_STARTS = ("<?xml", "<!DOCTYPE plist", "<plist", "<dict", "</dict>", "</plist>", "<key>", "<array>", "</array>", "<data>", "</data>")
+CERTIFICATE_WORDS = (
+    "Certification Authority", "Certificate Authority", "Root CA", "Code Signing", "Software Signing", "crl.apple.com", "appleca", "certificate is to be used", "Reliance on this certificate", "terms and conditions",
+)
+
+
+def relabel_signatures(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows inside signature ranges (blob_id, start, end): hashes, property lists, certificates, bundle names."""
+    inside = in_ranges(rows, signed.select(KEY, "start", "end"), "left").withColumn("__in", F.col("start").isNotNull()).drop("start", "end").dropDuplicates()
+    v, kind, here = F.col("value"), F.col("kind"), F.col("__in")
+    size = F.octet_length(F.expr("try_to_binary(value, 'base64')"))
+    hashed = here & F.coalesce(kind == "Base64", F.lit(False)) & size.isin(20, 32)
+    word = F.lit(False)
+    for w in CERTIFICATE_WORDS:
+        word = word | v.contains(w)
+    word = word | (v.contains(".crl") & v.contains("http")) | v.rlike("^[0-9]{12}([0-9]{2})?Z$|[0-9]{12}Z") | ((v.contains("Apple Inc.") | v.contains("Apple Software")) & (F.octet_length(v) < 50))
+    listed = F.lit(False)
+    for w in PLIST_STARTS:
+        listed = listed | v.startswith(w)
+    signature = hashed | (here & kind.isNull() & listed) | (here & (kind.isNull() | (kind == "Base64")) & word)
+    bundle = here & kind.isNull() & v.rlike(r"^(com|org|net|io|app|dev)(\.[\p{L}\p{N}_-]+){2,}$")
+    return inside.withColumns({"method": F.when(signature, "CodeSignature").otherwise(F.col("method")), "kind": F.when(hashed, "CodeSignatureHash").when(bundle, "AppId").otherwise(kind)}).drop("__in")
+
+
+def suppress_versions(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """Addresses that are a blob's version string (blob_id, value) lose their kind."""
+    known = versions.select(KEY, "value").distinct().withColumn("__version", F.lit(True))
+    marked = rows.join(known, [KEY, "value"], "left")
+    off = F.col("__version").isNotNull() & F.col("kind").isin("IP", "IPPort")
+    return marked.withColumn("kind", F.when(~F.coalesce(off, F.lit(False)), F.col("kind"))).drop("__version")

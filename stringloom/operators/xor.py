@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stringloom.functions.dialect import SPARK
@@ -93,11 +93,13 @@ def keyed_finds(data: bytes, key: bytes, min_length: int = MIN_LENGTH) -> Iterat
     if not data or not key:
         return
     raw = np.frombuffer(data, np.uint8)
+    zero = np.concatenate([[False], raw == 0, [False]])
+    blank = zero[1:-1] & (zero[:-2] | zero[2:])  # two NULs or more end a run: only the key shows there
     found = []
     for phase in range(len(key)):
         mask = np.frombuffer((key[phase:] + key[:phase]) * (len(data) // len(key) + 1), np.uint8)[: len(data)]
         plain = raw ^ mask
-        good = np.concatenate([[0], PRINTABLE[plain].astype(np.int8), [0]])
+        good = np.concatenate([[0], (PRINTABLE[plain] & ~blank).astype(np.int8), [0]])
         edges = np.flatnonzero(np.diff(good))
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if e - s >= min_length:
@@ -197,6 +199,43 @@ def key_candidates(rows: DataFrame, most: int = 5) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+# What speaks for a key when its finds hold it, and the total that accepts one.
+KEY_SIGNS = (
+    (100, ("osascript", "screencapture", "/bin/sh", "/bin/bash", "2>&1", "<<eod", "<<eof")),
+    (80, ("ethereum", "bitcoin", "electrum", "wallet", "keystore", "monero", "litecoin", "dogecoin", "cryptocurrency", "mnemonic", "seed phrase")),
+    (40, ("safari", "chrome", "firefox", "mozilla", "webkit", "chromium", "opera", "edge")),
+)
+KEY_KINDS = (("SuspiciousPath", 75), ("Url", 50), ("IP", 50), ("IPPort", 50), ("ShellCmd", 30), ("Path", 10), ("Base64", 5))
+LOCALE_SCORE, ACCEPT = 25, 375
+
+
+def find_weight() -> Column:
+    """What one classified find (value, kind) says for its key."""
+    low, out = F.lower("value"), F.lit(0)
+    for weight, words in KEY_SIGNS:
+        out = out + F.when(reduce(Column.__or__, [low.contains(w) for w in words]), weight).otherwise(0)
+    for kind, weight in KEY_KINDS:
+        out = out + F.when(F.col("kind") == kind, weight).otherwise(0)
+    return out + F.when(F.col("value").rlike("^[a-z]{2,3}[_-][A-Z]{2,3}$"), LOCALE_SCORE).otherwise(0)
+
+
+def best_keys(finds: DataFrame) -> DataFrame:
+    """(blob_id, key, score): each blob's best key, if its distinct classified finds weigh ACCEPT or more."""
+    once = finds.dropDuplicates([KEY, "key", "value"]).withColumn("weight", find_weight())
+    scored = once.groupBy(KEY, "key").agg(F.sum("weight").alias("score")).where(F.col("score") >= ACCEPT)
+    return scored.groupBy(KEY).agg(F.max(F.struct("score", "key")).alias("best")).select(KEY, "best.key", "best.score")
+
+
+def own_key_finds(blobs: DataFrame, rows: DataFrame, with_kind, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Finds of each blob under the best of the keys that its own strings suggest, and a row for the key."""
+    keys = key_candidates(rows).select(KEY, F.encode("value", "UTF-8").alias("key"), "data_offset")
+    named = with_kind(with_own_keys(blobs, keys, min_length))
+    best = best_keys(named)
+    kept = named.join(best.select(KEY, "key"), [KEY, "key"], "left_semi").select(KEY, "value", "data_offset", "data_len", "method", "kind")
+    at = best.join(keys, [KEY, "key"]).select(KEY, F.decode("key", "UTF-8").alias("value"), "data_offset", F.octet_length("key").alias("data_len"), F.lit("XorDecode").alias("method"), F.lit("XorKey").alias("kind"))
+    return kept.unionByName(at)
+
+
 def parse_key(text: str) -> bytes:
     """0x… or bare hex of even length as bytes, anything else literally."""
     body = text[2:] if text[:2] in ("0x", "0X") else text

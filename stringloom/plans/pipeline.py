@@ -43,10 +43,15 @@ def extract(blobs: DataFrame, options: Options | None = None) -> DataFrame:
     lines = text_strings(wide.where(F.col("__text") | F.col("__bom").isNotNull()).select(F.col("blob_id").cast("string").alias("blob_id"), F.coalesce("__bom", F.decode(F.col("content"), "UTF-8")).alias("text")), o)
     found = binary.extract_blobs(wide.where(~F.col("__text") & F.col("__bom").isNull()), o.min_length)
     rows = kinds.with_kind(lines.withColumn("kind", F.lit(None).cast("string")).unionByName(found).withColumnRenamed("kind", "known"))
-    rows = rows.withColumn("kind", F.coalesce("known", "kind")).drop("known")
+    rows = rows.withColumn("kind", F.coalesce("known", "kind")).drop("known").select(*COLUMNS)
+    magic = F.hex(F.substring("content", 1, 4)).isin("CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "CAFEBABE")
+    signed = binary.catalogue(blobs.where(magic)).where("what = 'segment' AND name = '__LINKEDIT'")
+    rows = written(ranges.relabel_signatures(rows, signed), "strings")
     if o.xor or o.xor_key:
-        rows = rows.unionByName(_xor(blobs, o), allowMissingColumns=True)
-    rows = written(rows.select(*COLUMNS), "strings")
+        finds = _xor(blobs, o)
+        if not o.xor_key:
+            finds = finds.unionByName(xor.own_key_finds(blobs, rows, kinds.with_kind, o.min_length).select(*finds.columns))
+        rows = written(rows.unionByName(finds.select(*COLUMNS)), "strings")
     decoded = decode.decode_all(rows)
     fresh = kinds.with_kind(decoded.withColumnRenamed("kind", "known")).withColumn("kind", F.coalesce("known", "kind")).drop("known")
     spaced = text.spaced_ascii(rows).withColumns({"value": F.col("decoded"), "method": F.lit("SpacedAscii"), "kind": F.lit(None).cast("string")}).select(*COLUMNS)

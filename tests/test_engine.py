@@ -168,6 +168,33 @@ def test_xor_scanners():
         assert list(f(b"")) == list(f(bytes(500))) == []
 
 
+def test_own_key_is_found(spark):
+    key = b"tR7!xq9Zp#Lk2@Vm5&Wd"
+    lines = [b"curl http://evil.example.com/wallet", b"osascript -e quit /bin/sh now", b"open /Library/Ethereum/keystore", b"bitcoin and monero wallets", b"GET http://other.example.org/x chrome"]
+    data = key + bytes(44) + samples.masked(b"\0\0\0\0".join(lines), key[4:] + key[:4])
+    blobs = spark.createDataFrame([("b", data)], "blob_id string, content binary")
+    rows = strings(spark, [key.decode()]).withColumn("data_offset", F.lit(0).cast("long"))
+    got = xor.own_key_finds(blobs, rows, kinds.with_kind).collect()
+    assert ("XorKey", key.decode()) in {(r.kind, r.value) for r in got}
+    assert any("wallet" in r.value for r in got if r.kind != "XorKey")
+
+
+def test_relabelling(spark):
+    rows = strings(spark, ["com.example.tool", "<dict>", base64.b64encode(bytes(range(20))).decode(), "1.2.3.4", "com.example.other"])
+    rows = rows.withColumn("kind", F.when(F.col("data_offset") == 2000, "Base64").when(F.col("data_offset") == 3000, "IP"))
+    ranges_ = spark.createDataFrame([("b", 0, 2500)], "blob_id string, start long, end long")
+    got = {r.data_offset: (r.method, r.kind) for r in ranges.relabel_signatures(rows, ranges_).collect()}
+    assert got == {0: ("RawScan", "AppId"), 1000: ("CodeSignature", None), 2000: ("CodeSignature", "CodeSignatureHash"), 3000: ("RawScan", "IP"), 4000: ("RawScan", None)}
+    versions = spark.createDataFrame([("b", "1.2.3.4")], "blob_id string, value string")
+    assert {r.data_offset: r.kind for r in ranges.suppress_versions(rows, versions).collect()}[3000] is None
+
+
+def test_arm_connect():
+    code = b"".join(bytes([b, 0x30, 0xA0, 0xE3, 4 + i, 0x30, 0xCD, 0xE5]) for i, b in enumerate((45, 33, 32, 156)))
+    c = containers.Container("elf", "arm", sections=[containers.Section(".text", 0, 0, len(code), True)])
+    assert [r[0] for r in binary.arm_connects(code, c)] == ["45.33.32.156"]
+
+
 def test_scripts():
     e = base64.b64encode(b"import os; os.system('id')").decode()
     z = base64.b64encode(zlib.compress(b"print('hello world')")).decode()
