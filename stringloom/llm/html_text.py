@@ -28,15 +28,15 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 UNSEEN = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
 CONTAINER = frozenset("article body div main section table html td".split())
 HINTS = frozenset(
-    "ad ads adbox adsense advert advertisement adverts advertising banner bottombar breadcrumb breadcrumbs byline captcha comment comments commentlist consent contentinfo complementary cookie cookies disclaimer discussion disqus flyout footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommendation recommended related respond search share sharing sidebar sidenav signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar warning widget".split()
+    "ad ads adbox adsense advert advertisement adverts advertising alert alerts banner bottombar breadcrumb breadcrumbs byline captcha comment comments commentlist consent contentinfo complementary cookie cookies disclaimer discussion disqus flyout footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommendation recommended related respond search share sharing sidebar sidenav signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar warning widget".split()
 )
 #: Elements that a start tag of the key ends when they are open.
 ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WORDS = re.compile(r"[a-z]+")
 
 
-def hinted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether the element names itself as something other than content."""
+def hinted(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
+    """Whether the element names itself as something other than content. An article's own header is content."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -45,7 +45,7 @@ def hinted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
                 words = WORDS.findall(token)
                 if token.startswith("no-") or not words:
                     continue
-                if words[0] in HINTS or words[-1] in HINTS:
+                if any(w in HINTS and not (article and w == "header") for w in (words[0], words[-1])):
                     return True
     return False
 
@@ -100,7 +100,7 @@ class LineParser(HTMLParser):
         if tag in CONTAINER:
             self.containers += 1
             container = self.containers
-        seen = seen and tag not in UNSEEN and not (tag == "header" and not article) and not hinted(tag, attrs)
+        seen = seen and tag not in UNSEEN and not (tag == "header" and not article) and not hinted(tag, attrs, article)
         self.open.append((tag, seen, container, article))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

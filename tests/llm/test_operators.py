@@ -211,6 +211,8 @@ def test_html_main_text(spark):
     <p>Short.<ul><li>first<li>second</ul><div class="ad">buy</div><script>if (a<b) {}</script><form>name <input></form>
     <div class="comments"><p>reader words</p></div></article><footer>foot</footer></body></html>"""
     assert main_text(page) == "Head & line\nOne two three bold!\nShort.\nfirst\nsecond"
+    own = "<article><div class='article-header'><h1>Own title</h1></div><p>Text of it.</p></article><div class='site-header'>x</div>"
+    assert main_text(own) == "Own title\nText of it."
     plain = "<body><div class=menu>a</div><div><p>" + "long words here " * 20 + "</p><p>tail</p></div><p class=footer>x</p>"
     assert main_text(plain) == ("long words here " * 20).strip() + "\ntail"
     for odd in (None, "", "<", "<p", "<!-- open", "</p></p>", "<![CDATA[x]]>", "<script>never ends", "&#x110000;&bogus;", "a" * 100000):
