@@ -68,6 +68,10 @@ def _tokens(spark: SparkSession, sf_dir: str, like: str | None = None) -> DataFr
     return text.tokens(_documents(spark, sf_dir), like=like)
 
 
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.vocabulary(_documents(spark, sf_dir))
+
+
 DOTTED = "%.%.%.%"
 
 
@@ -154,8 +158,8 @@ def first8_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TOKENS_SQL + f", k AS (SELECT value, {kind_sql(DUCKDB)} AS kind FROM t) SELECT coalesce(kind, 'none') AS kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM k GROUP BY ALL")
 def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of all tokens by the rules that are column expressions; "?" is left to byte decoding."""
-    rows = _tokens(spark, sf_dir).select("value", F.coalesce(kinds.native_kind(), F.lit("none")).alias("kind"))
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("distinct_values"))
+    rows = _vocabulary(spark, sf_dir).select("n", F.coalesce(kinds.native_kind(), F.lit("none")).alias("kind"))
+    return rows.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_values"))
 
 
 @query(LINES_SQL + f", k AS (SELECT value, {kind_sql(DUCKDB)} AS kind FROM r WHERE strlen(value) >= 4) SELECT coalesce(kind, 'none') AS kind, count(*) AS n, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM k GROUP BY ALL")
@@ -170,8 +174,8 @@ def _severity_sql(c: str) -> str:
 
 @query(TOKENS_SQL + f", k AS (SELECT {kind_sql(DUCKDB)} AS kind FROM t) SELECT {_severity_sql('kind')} AS severity, count(*) AS n FROM k WHERE coalesce(kind, '') <> '{DEFER}' GROUP BY ALL")
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tokens(spark, sf_dir).select(kinds.native_kind().alias("kind")).where(F.coalesce("kind", F.lit("")) != DEFER)
-    return rows.groupBy(kinds.severity(F.col("kind")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _vocabulary(spark, sf_dir).select("n", F.coalesce(kinds.native_kind(), F.lit("")).alias("kind")).groupBy("kind").agg(F.sum("n").alias("n"))
+    return rows.where(F.col("kind") != DEFER).groupBy(kinds.severity(F.col("kind")).alias("severity")).agg(F.sum("n").alias("n"))
 
 
 def _synthetic(d) -> str:
@@ -195,7 +199,7 @@ def synthetic_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kind_tokens(name: str, wanted: tuple[str, ...]) -> None:
     @query(TOKENS_SQL + f", k AS (SELECT value, {kind_sql(DUCKDB)} AS kind FROM t) SELECT value, kind, count(*) AS n FROM k WHERE {DUCKDB.among('kind', wanted)} GROUP BY ALL")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _tokens(spark, sf_dir).select("value", kinds.native_kind().alias("kind")).where(F.col("kind").isin(*wanted)).groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n"))
+        return _vocabulary(spark, sf_dir).select("value", kinds.native_kind().alias("kind"), "n").where(F.col("kind").isin(*wanted))
 
     _QUERIES[name], _SQL[name] = _QUERIES.pop("run"), _SQL.pop("run")
 
@@ -428,8 +432,8 @@ SELECT garbage, count(*) AS n FROM g GROUP BY garbage"""
 def garbage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that the noise filter drops and keeps."""
     native = kinds.native_kind()
-    rows = _tokens(spark, sf_dir).select("value", F.when(native != DEFER, native).alias("kind"))
-    return rows.select(is_garbage("value").alias("garbage")).groupBy("garbage").agg(F.count(F.lit(1)).alias("n"))
+    rows = _vocabulary(spark, sf_dir).select("value", "n", F.when(native != DEFER, native).alias("kind"))
+    return rows.select(is_garbage("value").alias("garbage"), "n").groupBy("garbage").agg(F.sum("n").alias("n"))
 
 
 # --- bytes: texts hidden in blobs come back ----------------------------------------------

@@ -41,6 +41,16 @@ def tokens(blobs: DataFrame, text: str = "text", like: str | None = None) -> Dat
     return words.select(KEY, "pos", F.regexp_replace("word", r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "").alias("value")).where("value != ''")
 
 
+def vocabulary(blobs: DataFrame, text: str = "text") -> DataFrame:
+    """(value, n): each distinct token and how often it occurs.
+
+    What is costly for a token (trimming, classifying) is then done once for each distinct one.
+    """
+    raw = blobs.select(F.explode(F.split(text, r"[ \t\n\r\f]+", -1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    value = F.regexp_replace("word", r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
+    return raw.select(value.alias("value"), "n").where("value != ''").groupBy("value").agg(F.sum("n").alias("n"))
+
+
 def spaced_ascii(rows: DataFrame, value: str = "value") -> DataFrame:
     """Values written as letter, blank, letter, blank: joined, four characters or more."""
     v = F.col(value)
