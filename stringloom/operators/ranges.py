@@ -91,13 +91,19 @@ def resolve_overlaps(rows: DataFrame, rank: str = "rank") -> DataFrame:
 def retain(entries: DataFrame, now: str, days: int = 30, cap: int = 2 << 30, share: float = 0.9) -> DataFrame:
     """Cache entries (key, bytes, modified) that stay: young ones, newest first within the cap.
 
-    The size pass runs only where the total is over the cap, then down to a share of it.
+    The size pass runs only where the total is over the cap, then down to a share of it. Sizes are
+    summed by hour (at most 24 * days + 1 rows, hence the broadcast); only inside an hour are
+    entries ordered one by one, so that no task sees them all.
     """
     young = entries.where(F.col("modified") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
-    newest = Window.orderBy(F.col("modified").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)))
-    marked = young.withColumns({"running": F.sum("bytes").over(newest), "total": total})
-    return marked.where((F.col("total") <= cap) | (F.col("running") <= cap * share)).drop("running", "total")
+    young = young.withColumn("__hour", F.least(F.floor((F.lit(now).cast("timestamp").cast("long") - F.col("modified").cast("long")) / 3600), F.lit(24 * days)))
+    hours = young.groupBy("__hour").agg(F.sum("bytes").alias("__sum"))
+    newest = Window.partitionBy(F.lit(0)).orderBy("__hour")
+    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hours = hours.select("__hour", (F.sum("__sum").over(newest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"), F.sum("__sum").over(whole).alias("__total"))
+    inside = Window.partitionBy("__hour").orderBy(F.col("modified").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
+    marked = young.join(F.broadcast(hours), "__hour").withColumn("__running", F.col("__before") + F.sum("bytes").over(inside))
+    return marked.where((F.col("__total") <= cap) | (F.col("__running") <= cap * share)).drop("__hour", "__before", "__total", "__running")
 
 
 def few_or_none(rows: DataFrame, most: int = 4) -> DataFrame:

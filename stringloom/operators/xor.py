@@ -156,6 +156,35 @@ def incremental_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
             yield value, low + s, e - s, bytes([seed])
 
 
+#: Bytes up to which every key is tried for addresses and names without an anchor.
+DOTTED_LIMIT = 512 << 10
+_DOTTED = re.compile(rb"(?<![0-9.])(?:[1-9][0-9]{0,2}\.){3}[1-9][0-9]{0,2}(?::[1-9][0-9]{0,4})?(?![0-9.])|(?<![a-z0-9.-])[a-z](?:[a-z-]{3,60})\.com(?![a-z0-9.-])")
+
+
+def dotted_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+    """Addresses, endpoints and plain .com names under one-byte keys; tables of small numbers don't count."""
+    if not data or len(data) > DOTTED_LIMIT:
+        return
+    raw = np.frombuffer(data, np.uint8)
+    small = np.concatenate([[0], np.cumsum(raw < 0x20)])
+    for key in range(1, 256):
+        if key == SKIP_KEY or data.count(bytes([key ^ 0x2E])) < 1:
+            continue
+        for m in _DOTTED.finditer((raw ^ np.uint8(key)).tobytes()):
+            low, high = max(0, m.start() - 32), min(len(data), m.end() + 32)
+            value = m[0].decode("ascii")
+            host, _, port = value.partition(":")
+            if (small[high] - small[low]) * 100 >= (high - low) * 85 or len(set(data[m.start() : m.end()])) < 4:
+                continue
+            if host[0].isdigit():
+                octets = [int(x) for x in host.split(".")]
+                if max(octets) > 255 or octets[0] in (10, 127) or octets[0] >= 224 or len(set(octets)) < 2 or (port and int(port) > 65535):
+                    continue
+            elif max(host.count(c) for c in host[:-4]) * 2 > len(host) - 4:
+                continue
+            yield value, m.start(), len(m[0]), bytes([key])
+
+
 def scan(blobs: DataFrame, finder, content: str = "content") -> DataFrame:
     """Finds of a scanner over (blob_id, content) rows."""
     fields = pa.schema([("blob_id", pa.string()), ("value", pa.string()), ("data_offset", pa.int64()), ("data_len", pa.int32()), ("method", pa.string()), ("key", pa.binary())])

@@ -76,7 +76,7 @@ def _xor(blobs: DataFrame, o: Options) -> DataFrame:
         finds = xor.with_key(blobs, o.xor_key, o.min_length)
     else:
         first = written(xor.single_byte(blobs), "xor")
-        finds = first.unionByName(xor.with_own_keys(blobs, xor.repeated_keys(first))).unionByName(xor.scan(blobs, xor.rolling_finds)).unionByName(xor.scan(blobs, xor.incremental_finds))
+        finds = first.unionByName(xor.with_own_keys(blobs, xor.repeated_keys(first))).unionByName(xor.scan(blobs, xor.rolling_finds)).unionByName(xor.scan(blobs, xor.incremental_finds)).unionByName(xor.scan(blobs, xor.dotted_finds))
     named = kinds.with_kind(finds.drop("key").dropDuplicates(["blob_id", "data_offset", "value"]))
     if not o.xor_key:
         named = named.withColumn("__t", F.trim("value")).where(F.col("kind").isNotNull() | (~garbage.is_garbage() & F.col("__t").rlike(r"[a-z]{3,}[ /._-][a-z]{2,}"))).drop("__t")

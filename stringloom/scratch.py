@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _roots.get("")
         if root is None:
-            root = _roots[""] = "file://" + tempfile.mkdtemp(prefix="stringloom-")
+            made = tempfile.mkdtemp(prefix="stringloom-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            root = _roots[""] = "file://" + made
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root

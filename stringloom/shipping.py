@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).parent
-        target = Path(tempfile.mkdtemp(prefix="stringloom-")) / "stringloom.zip"
+        folder = tempfile.mkdtemp(prefix="stringloom-")  # on the driver only; Spark serves the file
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder) / "stringloom.zip"
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
             for path in sorted(package.rglob("*.py")):
                 z.write(path, path.relative_to(package.parent))

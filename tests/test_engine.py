@@ -163,8 +163,10 @@ def test_xor_scanners():
     assert (plain.decode(), 64) in [x[:2] for x in xor.rolling_finds(rolled)]
     growing = bytes(b ^ ((i + 7) & 255) for i, b in enumerate(bytes(30) + b"load http://evil.example.com/x" + bytes(30)))
     assert ("load http://evil.example.com/x", 30, 30, b"\x07") in list(xor.incremental_finds(growing))
+    dotted = bytes(40) + samples.masked(b"\x01\x02 45.33.32.156:8443 and evil-host.com\x01", b"\xa7") + bytes(40)
+    assert {(x[0], x[3]) for x in xor.dotted_finds(dotted)} >= {("45.33.32.156:8443", b"\xa7"), ("evil-host.com", b"\xa7")}
     assert [xor.parse_key(k) for k in ("0x4142", "4142", "key")] == [b"AB", b"AB", b"key"]
-    for f in (xor.single_byte_finds, xor.rolling_finds, xor.incremental_finds):
+    for f in (xor.single_byte_finds, xor.rolling_finds, xor.incremental_finds, xor.dotted_finds):
         assert list(f(b"")) == list(f(bytes(500))) == []
 
 
