@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, fold_ascii, wide_hash
+from .common import ASCII_SPACE, fold_ascii, wide_hash, written
 
 PREFIX = "__line_dedup_"
 
@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     one, two = PREFIX + "text", PREFIX + "id"
     hash1, hash2 = PREFIX + "h1", PREFIX + "h2"
     keyed = docs.withColumns({two: F.col(id_col), hash1: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), hash2: F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    frequent = frequent_keys(docs, text_col, min_docs, min_chars)
+    frequent = written(frequent_keys(docs, text_col, min_docs, min_chars), "frequent")  # as a table: Spark can then split a hot key's join
     rows = keyed.select(F.col(two).alias("id"), F.col(hash1).alias("t1"), F.col(hash2).alias("t2"), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"))
     h1, h2 = wide_hash(F.col("key"))
     rows = rows.where(F.length("key") >= min_chars).select("id", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
