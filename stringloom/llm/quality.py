@@ -37,6 +37,8 @@ HELD_OUT = 3
 #: What losing a good document weighs against keeping a bad one.
 LOSS = 3.0
 SHAPES = 64
+#: Features that are gathered before they are counted.
+HELD = 1 << 20
 #: Parts of a range that kth_largest counts at a time.
 CUTS = 4096
 TOKEN = re.compile(r"^[^\w]*(\w*)")
@@ -82,12 +84,23 @@ class Features(dict):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task one row for each bucket met: (bucket, raw, target)."""
     features, raw, target = Features(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    held: list[tuple[np.ndarray, bool]] = []
+
+    def count() -> None:
+        for total, parts in ((raw, [f for f, _ in held]), (target, [f for f, good in held if good])):
+            if parts:
+                total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+        held.clear()
+
+    size = 0
     for batch in batches:
         for text, good in zip(batch.column(0), batch.column(1), strict=True):
-            f = np.bincount(features.of(text.as_py()), minlength=0)
-            raw[: len(f)] += f
-            if good.as_py():
-                target[: len(f)] += f
+            held.append((features.of(text.as_py()), good.as_py()))
+            size += len(held[-1][0])
+            if size > HELD:
+                count()
+                size = 0
+    count()
     met = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(raw[met], pa.int64()), pa.array(target[met], pa.int64())], ["bucket", "raw", "target"])
 
