@@ -286,7 +286,7 @@ class NearDuplicates:
         reps = linked.join(firsts.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
         keys = reps.select(F.explode("bands").alias("bucket"), "id")
         shared = keys.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("bucket", "pivot")
-        buckets = written(keys.join(shared, "bucket"), "buckets")
+        buckets = written(keys.join(written(shared, "shared"), "bucket"), "buckets")  # as a table: Spark can then split a hot bucket's join
         sketches = reps.select("id", *COARSE_PARTS)
 
         first = buckets.where("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
