@@ -3,8 +3,10 @@
 The standard library's parser gives events; a line is a block (what stands between block-level
 tags). A line's ratio is its characters to its tags. Ratios are smoothed by a Gaussian over
 neighbouring lines, and lines at or over a threshold (a share of the ratios' standard deviation)
-form the content clusters. A cluster takes in the whole of the containers that it touches, so
-that short paragraphs of an article stay. Lines inside elements that name themselves navigation,
+form the content clusters. A cluster takes in all lines that stand directly in the containers that
+it touches, so that short paragraphs of an article stay; an article or main element is a container
+like any other. A container that only its neighbours' ratios lift over the threshold is touched if
+its lines are at or over it on average. Lines inside elements that name themselves navigation,
 footer, advert, form, comment and the like have no ratio and never count.
 
 Cases: null, empty or text-free html gives an empty string. Broken markup never fails: open
@@ -51,12 +53,12 @@ def hinted(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool
 
 
 class LineParser(HTMLParser):
-    """Lines as [text, tags, container, seen, in article]."""
+    """Lines as (text, tags, container, seen)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, seen, container, in article
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.containers = 0
 
@@ -66,8 +68,8 @@ class LineParser(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            seen, container, article = self.state_at_text
-            self.lines.append((text, self.tags, container, seen, article))
+            seen, container, _ = self.state_at_text
+            self.lines.append((text, self.tags, container, seen))
             self.tags = 0
         self.text = []
 
@@ -150,22 +152,25 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
-    if any(seen and article for _, _, _, seen, article in lines):  # what the page itself marks as its article
-        lines = [x for x in lines if x[4]]
-        return "\n".join(x[0] for x in _clustered(lines, sigma, share, whole=True))
-    return "\n".join(x[0] for x in _clustered(lines, sigma, share, whole=False))
+    return "\n".join(x[0] for x in _clustered(parser.lines, sigma, share))
 
 
-def _clustered(lines: list, sigma: float, share: float, whole: bool) -> list:
+def _clustered(lines: list, sigma: float, share: float) -> list:
     ratios = [len(x[0]) / max(1, x[1]) if x[3] else 0.0 for x in lines]
     if not any(ratios):
         return []
     smoothed = smooth(ratios, sigma)
     mean = sum(smoothed) / len(smoothed)
     threshold = share * math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
-    touched = {x[2] for x, r, s in zip(lines, ratios, smoothed, strict=True) if r and s >= threshold}
-    return [x for x in lines if x[3] and (whole or x[2] in touched)]
+    reached: dict[int, list[float]] = {}
+    touched = set()
+    for x, r, s in zip(lines, ratios, smoothed, strict=True):
+        if r:
+            reached.setdefault(x[2], []).append(s)
+            if min(r, s) >= threshold:
+                touched.add(x[2])
+    touched |= {c for c, values in reached.items() if sum(values) >= threshold * len(values)}
+    return [x for x in lines if x[3] and x[2] in touched]
 
 
 def extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -223,6 +223,15 @@ def test_html_main_text(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_html_ratios_decide_on_pages_with_an_article():
+    prose = [" ".join(["long plain words of prose"] * 20), " ".join(["more of the same story"] * 15), "Short."]
+    text = "".join(f"<p>{x}</p>" for x in prose)
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6)) + "</ul></div>"
+    teaser = "<article><h3><a href=/x>Teaser</a></h3><p><a href=/x>Read on</a></p></article>"
+    for page in (f"<div>{text}</div>{links}{teaser}", f"{teaser}{links}<div>{text}</div>", f"<article>{text}{links}</article>", f"<main>{text}{links}</main>"):
+        assert main_text(f"<body>{page}</body>").split("\n") == prose
+
+
 def test_fingerprints_match_brute_force(spark):
     r = random.Random(4)
     texts = [(i * 37 - 4000, "".join(r.choice("aB éﬁ\n\tÄ") for _ in range(r.randrange(40)))) for i in range(200)] + [(10**15, "x"), (-(2**62), "A\u0308 b")]
