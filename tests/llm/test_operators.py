@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stringloom.llm.components import components
-from stringloom.llm.decontaminate import drop_contaminated, find_matches, simhash, word_hashes
+from stringloom.llm.decontaminate import ItemIndex, drop_contaminated, find_matches, simhash, word_hashes
 from stringloom.llm.fingerprint import edited_fingerprints, fingerprint_documents, next_ids
 from stringloom.llm.html_text import extract_text, main_text
 from stringloom.llm.license_scan import scan_licenses
@@ -155,6 +155,20 @@ def test_decontamination_matches_all_windows(spark):
     assert find_matches(docs(spark, texts).limit(0), bench).collect() == []
 
 
+def test_decontamination_recall_at_the_threshold():
+    r = random.Random(4)
+    word = lambda: f"q{r.randrange(3000)}"
+    items = [[word() for _ in range(r.choice([13, 22, 31, 40, 49, 58]))] for _ in range(150)]
+    index = ItemIndex([(i, " ".join(x)) for i, x in enumerate(items)])
+    missed = 0
+    for i, x in enumerate(items):
+        k = (len(x) - 4) // 9  # the most words at one end that can change: similarity 0.8 or just above
+        for edited in ([word() for _ in range(k)] + x[k:], x[:-k] + [word() for _ in range(k)]):
+            text = " ".join([word() for _ in range(30)] + edited + [word() for _ in range(30)])
+            missed += i not in {m[0] for m in index.matches(text, 0.8)}
+    assert missed == 0
+
+
 def test_simhash_of_equal_words_is_equal():
     assert (simhash(word_hashes("One two three")) == simhash(word_hashes("one, two. THREE!"))).all()
 
