@@ -156,25 +156,35 @@ def incremental_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
             yield value, low + s, e - s, bytes([seed])
 
 
-#: Bytes up to which every key is tried for addresses and names without an anchor.
-DOTTED_LIMIT = 512 << 10
 _DOTTED = re.compile(rb"(?<![0-9.])(?:[1-9][0-9]{0,2}\.){3}[1-9][0-9]{0,2}(?::[1-9][0-9]{0,4})?(?![0-9.])|(?<![a-z0-9.-])[a-z](?:[a-z-]{3,60})\.com(?![a-z0-9.-])")
 
+_LETTERS, _DIGITS = b"abcdefghijklmnopqrstuvwxyz-", b"0123456789"
+
 
 def dotted_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
     """Addresses, endpoints and plain .com names under one-byte keys; tables of small numbers don't count."""
-    if not data or len(data) > DOTTED_LIMIT:
+    if not data or len(data) > SCAN_LIMIT:
         return
     raw = np.frombuffer(data, np.uint8)
-    small = np.concatenate([[0], np.cumsum(raw < 0x20)])
-    for key in range(1, 256):
-        if key == SKIP_KEY or data.count(bytes([key ^ 0x2E])) < 1:
-            continue
-        for m in _DOTTED.finditer((raw ^ np.uint8(key)).tobytes()):
-            low, high = max(0, m.start() - 32), min(len(data), m.end() + 32)
+    n, small = len(raw), np.concatenate([[0], np.cumsum(raw < 0x20)])
+    keys, after = raw ^ np.uint8(0x2E), np.concatenate([raw, np.zeros(4, np.uint8)])  # each byte is a dot under one key
+    plain = lambda d: after[d : d + n] ^ keys
+    digit = lambda x: (x >= 0x30) & (x <= 0x39)
+    address = digit(np.concatenate([raw[:1], raw[:-1]]) ^ keys) & digit(plain(1)) & ((after[2 : n + 2] == raw) | (after[3 : n + 3] == raw) | (after[4 : n + 4] == raw))
+    name = (plain(1) == ord("c")) & (plain(2) == ord("o")) & (plain(3) == ord("m"))
+    for dot in np.flatnonzero((address | name) & (keys != 0) & (keys != SKIP_KEY)).tolist():
+        first = max(0, dot - 80)  # longer than any name that counts
+        text = (raw[first : dot + 40] ^ keys[dot]).tobytes()
+        own, start = _LETTERS if name[dot] else _DIGITS, dot - first
+        while start and text[start - 1] in own:
+            start -= 1
+        m = _DOTTED.match(text, start)
+        if m:
+            at, end = first + m.start(), first + m.end()
+            low, high = max(0, at - 32), min(n, end + 32)
             value = m[0].decode("ascii")
             host, _, port = value.partition(":")
-            if (small[high] - small[low]) * 100 >= (high - low) * 85 or len(set(data[m.start() : m.end()])) < 4:
+            if (small[high] - small[low]) * 100 >= (high - low) * 85 or len(set(data[at:end])) < 4:
                 continue
             if host[0].isdigit():
                 octets = [int(x) for x in host.split(".")]
@@ -182,7 +192,7 @@ def dotted_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
                     continue
             elif max(host.count(c) for c in host[:-4]) * 2 > len(host) - 4:
                 continue
-            yield value, m.start(), len(m[0]), bytes([key])
+            yield value, at, end - at, bytes([keys[dot]])
 
 
 def scan(blobs: DataFrame, finder, content: str = "content") -> DataFrame:
