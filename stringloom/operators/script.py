@@ -110,6 +110,48 @@ MATCHERS: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
 }
 
 
+# The parts of Python's chain over aliased imports, and of PowerShell's replaced strings.
+ALIAS = re.compile(rf"(\w+)\s*=\s*__import__\s*\(\s*{Q}(base64|zlib|codecs|marshal){Q}\s*\)")
+B64_VARIABLE = re.compile(r"\.b64decode\s*\(\s*(\w+)\s*\)")
+STRING_VALUE = re.compile(rf"(\w+)\s*=\s*b?{Q}([A-Za-z0-9+/=\s]{{20,}}){Q}")
+INT_VALUE = re.compile(r"(?m)\b(\w+)\s*=\s*(0x[0-9A-Fa-f]+|\d+)\b")
+XOR_LAMBDA = re.compile(r"\w+\s*=\s*lambda\s+\w+(?:\s*,\s*\w+)*\s*:\s*bytes\s*\(\s*\[\s*\w+\s*\^\s*(\w+)\s+for")
+REPLACED = re.compile(rf"(?i)(?:iex|invoke-expression)\s*\(\s*{Q}([^'\"]+){Q}((?:\s*\.replace\s*\(\s*{Q}[^'\"]*{Q}\s*,\s*{Q}[^'\"]*{Q}\s*\))+)")
+REPLACE_PAIR = re.compile(rf"(?i)\.replace\s*\(\s*{Q}([^'\"]*){Q}\s*,\s*{Q}([^'\"]*){Q}\s*\)")
+
+
+def aliased_chain(text: str) -> Iterator[tuple[str, int, str]]:
+    """(decoded, 0, chain) of a variable's base64 under aliased imports: then zlib, if imported, and a lambda's XOR key."""
+    modules = {m[2] for m in ALIAS.finditer(text)}
+    blob = B64_VARIABLE.search(text)
+    value = next((m[2] for m in STRING_VALUE.finditer(text) if blob and m[1] == blob[1]), None)
+    if "base64" not in modules or value is None:
+        return
+    steps = ("base64", "zlib") if "zlib" in modules else ("base64",)
+    mask = XOR_LAMBDA.search(text)
+    key = next((n for m in INT_VALUE.finditer(text) if mask and m[1] == mask[1] and (n := int(m[2], 16 if m[2][:2] == "0x" else 10)) < 256), None)
+    if key is not None:
+        steps += (f"xor({key})",)
+    decoded = decode_chain(value.encode(), steps)
+    if decoded:
+        yield decoded, 0, "+".join(steps)
+
+
+def replaced(text: str) -> Iterator[tuple[str, int, str]]:
+    """(decoded, place, chain) of strings that iex() runs after replacements, done in order."""
+    for m in REPLACED.finditer(text):
+        value = m[1]
+        for old, new in REPLACE_PAIR.findall(m[2]):
+            value = value.replace(old, new)
+            if len(value) > codecs.MAX_TEXT:
+                break
+        if 0 < len(value) <= codecs.MAX_TEXT:
+            yield value, m.start(), "replace"
+
+
+FINDERS = {"python": aliased_chain, "powershell": replaced}
+
+
 def payloads(text: str, lang: str | None) -> list[tuple[str, int, str, str]]:
     """(decoded, offset, chain, language) of the matches; every language is tried where none is known."""
     out, taken = [], []
@@ -122,6 +164,8 @@ def payloads(text: str, lang: str | None) -> list[tuple[str, int, str, str]]:
                 if decoded:
                     taken.append(m.start())
                     out.append((decoded, len(text[: m.start()].encode()), "+".join(steps), name))
+        if name in FINDERS:
+            out += [(decoded, len(text[:at].encode()), chain, name) for decoded, at, chain in FINDERS[name](text)]
     return out
 
 
@@ -158,7 +202,7 @@ def deobfuscate(blobs: DataFrame, text: str = "text") -> DataFrame:
             rows = [r for blob, t in batch.itertuples(index=False) if t for r in peel(blob, t)]
             yield pd.DataFrame(rows, columns=names)
 
-    likely = F.col(text).rlike(r"(?i)base64|atob|fromhex|fromcharcode|chr\(|rot_?13|\[char|-e(nc|c)? |\.reverse\(\)|\[-1\.\.|gzinflate|gzuncompress|map\(chr")
+    likely = F.col(text).rlike(r"(?i)base64|atob|fromhex|fromcharcode|chr\(|rot_?13|\[char|-e(nc|c)? |\.reverse\(\)|\[-1\.\.|gzinflate|gzuncompress|map\(chr|\.replace\s*\(")
     return blobs.where(likely).select(F.col(KEY).cast("string"), F.col(text)).mapInPandas(run, PAYLOADS)
 
 

@@ -211,6 +211,11 @@ def test_scripts():
     ]
     for source, plain, chain, lang in cases:
         assert (plain, chain, lang) in [(x[1], x[3], x[4]) for x in script.peel("b", source)]
+    hidden = base64.b64encode(zlib.compress(samples.masked(b"import os; os.system('id')", bytes([134])))).decode()
+    chain = f"a1 = __import__('base64')\nb2 = __import__('zlib')\nk3 = 134\nd4 = '{hidden}'\nx5 = lambda v: bytes([c ^ k3 for c in v])\nexec(compile(x5(b2.decompress(a1.b64decode(d4))), 's', 'exec'))"
+    assert [x[1:] for x in script.peel("b", chain)][:1] == [("import os; os.system('id')", 0, "base64+zlib+xor(134)", "python", 0)]
+    assert [x[1] for x in script.peel("b", f"m = __import__('base64')\nt = '{e}'\nexec(m.b64decode(t))")] == ["import os; os.system('id')"]
+    assert [x[1:5] for x in script.peel("b", "é; IEX('WrXYte-HoZst 1'.replace('XY', 'i').Replace('oZ','o'))")] == [("Write-Host 1", 4, "replace", "powershell")]
     inner = base64.b64encode(cases[0][0].encode()).decode()
     assert [x[5] for x in script.peel("b", f"import base64\nexec(base64.b64decode('{inner}'))")] == [0, 1]
     assert script.peel("b", "nothing to see") == []
