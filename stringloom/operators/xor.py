@@ -42,11 +42,12 @@ def _run_around(plain: bytes, at: int, size: int) -> tuple[int, int]:
 
 
 @cache
-def _automaton(growing: bool):
-    """All anchors under all one-byte keys; growing: under keys that grow by one a byte, by their first value."""
+def _automaton(growing: bool, wide: bool = False):
+    """All anchors under all one-byte keys; growing: under keys that grow by one a byte, by their first value; wide: as UTF-16LE."""
     words: dict[str, list[tuple[int, int]]] = {}
     for key in range(256):
         for a in ANCHORS:
+            a = a.decode().encode("utf-16-le") if wide else a
             word = bytes(b ^ ((key + j * growing) & 255) for j, b in enumerate(a)).decode("latin-1")
             words.setdefault(word, []).append((key, len(a)))
     found = ahocorasick.Automaton()
@@ -56,13 +57,13 @@ def _automaton(growing: bool):
     return found
 
 
-def _hits(data: bytes, growing: bool) -> list[tuple[int, int, int]]:
+def _hits(data: bytes, growing: bool, wide: bool = False) -> list[tuple[int, int, int]]:
     """(key, place, size) of the anchors in one pass over the data."""
-    return sorted((key, end + 1 - size, size) for end, keys in _automaton(growing).iter(data.decode("latin-1")) for key, size in keys)
+    return sorted((key, end + 1 - size, size) for end, keys in _automaton(growing, wide).iter(data.decode("latin-1")) for key, size in keys)
 
 
 def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
-    """Printable runs around an anchor, for each key but 0 and the case flip."""
+    """Printable runs around an anchor, for each key but 0 and the case flip; in PE blobs also UTF-16LE runs."""
     if not data or len(data) > SCAN_LIMIT:
         return
     raw, seen = np.frombuffer(data, np.uint8), set()
@@ -76,6 +77,26 @@ def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
         if len(value) >= MIN_LENGTH and (key, low + s) not in seen:
             seen.add((key, low + s))
             yield value, low + s, e - s, bytes([key])
+    if data[:2] == b"MZ":
+        yield from _wide_finds(data)
+
+
+def _wide_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+    """UTF-16LE runs of printable ASCII around a wide anchor, whole; lengths are in bytes of the blob."""
+    ends: dict[tuple[int, int], int] = {}  # (key, parity) -> end of the last run
+    for key, at, size in _hits(data, False, True):
+        if key in (0, SKIP_KEY) or at < ends.get((key, at % 2), 0):
+            continue
+        good = lambda i: data[i + 1] == key and PRINTABLE[data[i] ^ key]  # noqa: B023, E731
+        start, end = at, at + size
+        while start >= 2 and good(start - 2):
+            start -= 2
+        while end + 1 < len(data) and good(end):
+            end += 2
+        ends[key, at % 2] = end
+        value = bytes(b ^ key for b in data[start:end:2]).decode("ascii").strip()
+        if len(value) >= MIN_LENGTH:
+            yield value, start, end - start, bytes([key])
 
 
 def _echo(value: str, key: bytes) -> bool:

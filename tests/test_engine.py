@@ -165,6 +165,8 @@ def test_xor_scanners():
     assert ("load http://evil.example.com/x", 30, 30, b"\x07") in list(xor.incremental_finds(growing))
     dotted = bytes(40) + samples.masked(b"\x01\x02 45.33.32.156:8443 and evil-host.com\x01", b"\xa7") + bytes(40)
     assert {(x[0], x[3]) for x in xor.dotted_finds(dotted)} >= {("45.33.32.156:8443", b"\xa7"), ("evil-host.com", b"\xa7")}
+    wide = samples.masked("visit http://evil.example.com/wide".encode("utf-16-le"), b"\x5a")
+    assert ("visit http://evil.example.com/wide", 65, len(wide), b"\x5a") in list(xor.single_byte_finds(b"MZ" + bytes(63) + wide + bytes(9)))
     large = bytes(600 << 10) + dotted  # size alone, up to the scan limit, loses nothing
     assert {(x[0], x[1] - (600 << 10), x[3]) for x in xor.dotted_finds(large)} >= {(x[0], x[1], x[3]) for x in xor.dotted_finds(dotted)}
     assert [xor.parse_key(k) for k in ("0x4142", "4142", "key")] == [b"AB", b"AB", b"key"]
