@@ -6,8 +6,9 @@ neighbouring lines, and lines at or over a threshold (a share of the ratios' sta
 form the content clusters. A cluster takes in all lines that stand directly in the containers that
 it touches, so that short paragraphs of an article stay; an article or main element is a container
 like any other. A container that only its neighbours' ratios lift over the threshold is touched if
-its lines are at or over it on average. Lines inside elements that name themselves navigation,
-footer, advert, form, comment and the like have no ratio and never count.
+its lines are at or over it on average. Lines inside elements that name themselves menu, header,
+footer, sidebar, notice, advert, form or comment have no ratio and never count; an inline element
+of this kind (a script or an advert inside a sentence) goes without splitting the block around it.
 
 Cases: null, empty or text-free html gives an empty string. Broken markup never fails: open
 elements end with the element around them, stray end tags are ignored. Texts are read whole.
@@ -19,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 UNSEEN = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
+SCOPE = frozenset("button iframe object select svg template".split())
 CONTAINER = frozenset("article body div main section table html td".split())
 HINTS = frozenset(
-    "ad ads adbox adsense advert advertisement adverts advertising alert alerts banner bottombar breadcrumb breadcrumbs byline captcha comment comments commentlist consent contentinfo complementary cookie cookies disclaimer discussion disqus flyout footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommendation recommended related respond search share sharing sidebar sidenav signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar warning widget".split()
+    "ad ads adbox adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo complementary cookie cookies discussion disqus footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification popup promo promoted promotion sidebar sidenav signup skyscraper sponsor sponsored subscribe".split()
 )
 #: Elements that a start tag of the key ends when they are open.
 ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,58 +55,82 @@ def hinted(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool
     return False
 
 
+class Open(NamedTuple):
+    """An open element and what holds inside it."""
+
+    tag: str
+    seen: bool
+    container: int
+    article: bool
+    gap: bool  # inside an inline element that isn't content: its text goes, the line around it goes on
+
+
+OUTSIDE = Open("", True, 0, False, False)
+
+
 class LineParser(HTMLParser):
     """Lines as (text, tags, container, seen)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, seen, container, in article
+        self.open: list[Open] = []
         self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
+        self.blank = True  # no text but white space in this line so far
         self.tags = self.containers = 0
+        self.at_text = OUTSIDE
 
-    def state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (True, 0, False)
+    def state(self) -> Open:
+        return self.open[-1] if self.open else OUTSIDE
 
     def end_line(self) -> None:
+        if self.state().gap:
+            return
         text = " ".join("".join(self.text).split())
         if text:
-            seen, container, _ = self.state_at_text
-            self.lines.append((text, self.tags, container, seen))
+            self.lines.append((text, self.tags, self.at_text.container, self.at_text.seen))
             self.tags = 0
-        self.text = []
+        self.text, self.blank = [], True
+
+    def close_to(self, depth: int) -> None:
+        """Closes open elements; a line ends with a block among them."""
+        if any(x.tag in BLOCK for x in self.open[depth:]):
+            self.end_line()
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.end_line()
-        if tag == "br":
+        if tag == "br" and not self.state().gap:
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
         if tag in ENDS:
             for depth in range(len(self.open) - 1, -1, -1):
-                name = self.open[depth][0]
+                name = self.open[depth].tag
                 if name in ENDS[tag]:
-                    del self.open[depth:]
+                    self.close_to(depth)
                     break
                 if name in CONTAINER or name in ("ul", "ol", "dl", "select", "blockquote", "figure", "nav", "form"):
                     break
-        elif tag in BLOCK and self.open and any(x[0] == "p" for x in self.open[-4:]):
+        elif tag in BLOCK and self.open and any(x.tag == "p" for x in self.open[-4:]):
             for depth in range(len(self.open) - 1, -1, -1):
-                if self.open[depth][0] == "p":
-                    del self.open[depth:]
+                if self.open[depth].tag == "p":
+                    self.close_to(depth)
                     break
-                if self.open[depth][0] in BLOCK:
+                if self.open[depth].tag in BLOCK or self.open[depth].tag in SCOPE:
                     break
-        seen, container, article = self.state()
+        around = self.state()
+        container, article = around.container, around.article
         if tag in ("article", "main"):
-            article = article or not any(x[0] == "article" and not x[1] for x in self.open)
+            article = article or not any(x.tag == "article" and not x.seen for x in self.open)
         if tag in CONTAINER:
             self.containers += 1
             container = self.containers
-        seen = seen and tag not in UNSEEN and not (tag == "header" and not article) and not hinted(tag, attrs, article)
-        self.open.append((tag, seen, container, article))
+        content = tag not in UNSEEN and not (tag == "header" and not article) and not hinted(tag, attrs, article)
+        gap = around.gap or (around.seen and not content and tag not in BLOCK)
+        self.open.append(Open(tag, around.seen and content, container, article, gap))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, the slash has no meaning
@@ -113,22 +140,21 @@ class LineParser(HTMLParser):
             self.end_line()
         self.tags += 1
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                del self.open[depth:]
+            if self.open[depth].tag == tag:
+                self.close_to(depth)
                 return
-            if self.open[depth][0] in ("article", "table") and tag not in BLOCK:
+            if self.open[depth].tag in ("article", "table") and tag not in BLOCK:
                 return
 
     def handle_data(self, data: str) -> None:
         state = self.state()
-        if self.text and state[0] != self.state_at_text[0]:
-            self.end_line()
-        if not self.text or not "".join(self.text).strip():
-            self.state_at_text = state
+        if state.gap:
+            return
+        if self.blank:
+            self.at_text = state
+            self.blank = not data.strip()
         self.text.append(data)
 
-    state_at_text: tuple[bool, int, bool] = (True, 0, False)
-
     def parse_html_declaration(self, i: int) -> int:
         if self.rawdata.startswith("<![", i):
             return self.parse_bogus_comment(i)

@@ -246,6 +246,14 @@ def test_html_ratios_decide_on_pages_with_an_article():
         assert main_text(f"<body>{page}</body>").split("\n") == prose
 
 
+def test_html_inline_non_content_does_not_split_its_block():
+    for inside in ("<script>x</script>", "<span class='ad'>buy</span>", "<button><div>x</div></button>", "<svg><text>x</text></svg>", "<noscript>x</noscript>", "<select><option>x</select>"):
+        assert main_text(f"<article><p>One {inside} two</p><p>three</p></article>") == "One two\nthree"
+    prose = "long words of prose " * 9
+    page = f"<article><p>{prose}</p><div class='warning'>Mind this well, it is part of the story.</div><p class='byline'>By someone who wrote all of it.</p></article>"
+    assert main_text(page).split("\n")[1:] == ["Mind this well, it is part of the story.", "By someone who wrote all of it."]
+
+
 def test_fingerprints_match_brute_force(spark):
     r = random.Random(4)
     texts = [(i * 37 - 4000, "".join(r.choice("aB éﬁ\n\tÄ") for _ in range(r.randrange(40)))) for i in range(200)] + [(10**15, "x"), (-(2**62), "A\u0308 b")]
