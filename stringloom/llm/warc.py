@@ -5,6 +5,10 @@ is_last, data, running_digest): the rows of an archive, joined in order, are a v
 file. Payloads are encoded, hashed and compressed piece by piece, so that no task holds a whole
 compressed record, and readers hold one chunk and the running digest.
 
+running_digest is the SHA-256 of the record's bytes up to the end of the chunk. The reader keeps
+the same digest: a chunk that is missing, out of order, of another record or changed raises an
+error, and so does a record that its partition doesn't finish.
+
 Of records with equal payloads of at least min_revisit bytes, the one with the smallest id is a
 response and the others are revisits without a body that refer to it.
 
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 CHUNK_SCHEMA = "record_id string, chunk_no int, is_last boolean, data binary, running_digest string"
+CHUNK_COLUMNS = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Characters of payload taken at a time, bytes of a chunk row, and bytes of rows given on at once.
 PIECE, CHUNK, BATCH = 1 << 16, 1 << 18, 1 << 22
@@ -47,23 +52,26 @@ def record_header(page_id, url, payload_bytes: int, digest: str, refers_to, when
 
 
 def member_chunks(header: bytes, payload: str, chunk: int = CHUNK) -> Iterator[tuple[int, bool, bytes, str]]:
-    """The gzip member of one record as (chunk_no, is_last, data, digest of the payload so far)."""
+    """The gzip member of one record as (chunk_no, is_last, data, digest of the member so far)."""
     packer, digest, held, number = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha256(), bytearray(), 0
+
+    def cut(last: bool) -> tuple[int, bool, bytes, str]:
+        nonlocal number
+        data = bytes(held[:chunk])
+        del held[:chunk]
+        digest.update(data)
+        number += 1
+        return number - 1, last, data, digest.hexdigest()
+
     held += packer.compress(header)
     for at in range(0, len(payload), PIECE):
-        piece = payload[at : at + PIECE].encode("utf-8", "surrogatepass")
-        digest.update(piece)
-        held += packer.compress(piece)
+        held += packer.compress(payload[at : at + PIECE].encode("utf-8", "surrogatepass"))
         while len(held) > chunk:
-            yield number, False, bytes(held[:chunk]), digest.hexdigest()
-            del held[:chunk]
-            number += 1
+            yield cut(False)
     held += packer.compress(CRLF * 2) + packer.flush()
     while len(held) > chunk:
-        yield number, False, bytes(held[:chunk]), digest.hexdigest()
-        del held[:chunk]
-        number += 1
-    yield number, True, bytes(held), digest.hexdigest()
+        yield cut(False)
+    yield cut(True)
 
 
 def _missing(x) -> bool:
@@ -74,7 +82,6 @@ def write_chunks(when: str, chunk: int = CHUNK):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         part, row, rows, size = context.partitionId() if context else 0, 0, [], 0
-        columns = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
         for batch in batches:
             for page_id, url, html, length, digest, refers_to in batch.itertuples(index=False):
                 number = lambda x: None if _missing(x) else int(x)
@@ -83,10 +90,10 @@ def write_chunks(when: str, chunk: int = CHUNK):
                     rows.append((f"{part}-{row}", chunk_no, last, data, so_far))
                     size += len(data)
                     if size > BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
                         rows, size = [], 0
                 row += 1
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
 
     return run
 
@@ -94,10 +101,17 @@ def write_chunks(when: str, chunk: int = CHUNK):
 class RecordReader:
     """One record, chunk by chunk: header, then the payload's digest and length as they pass."""
 
-    def __init__(self) -> None:
+    def __init__(self, record_id: str) -> None:
+        self.record_id, self.next_chunk, self.member = record_id, 0, hashlib.sha256()
         self.unpack, self.head, self.fields, self.digest, self.seen, self.tail = zlib.decompressobj(31), b"", None, hashlib.sha256(), 0, b""
 
-    def add(self, data: bytes) -> None:
+    def add(self, record_id: str, chunk_no: int, data: bytes, running_digest: str) -> None:
+        if record_id != self.record_id or chunk_no != self.next_chunk:
+            raise ValueError(f"WARC record {self.record_id}: chunk {self.next_chunk} is missing, chunk {chunk_no} of {record_id} follows")
+        self.member.update(data)
+        if self.member.hexdigest() != running_digest:
+            raise ValueError(f"WARC record {record_id}: chunk {chunk_no} does not match its digest")
+        self.next_chunk += 1
         while data:
             plain = self.unpack.decompress(data, PIECE)
             data = self.unpack.unconsumed_tail
@@ -131,17 +145,20 @@ class RecordReader:
 
 
 def read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a record follow each other in the order of chunk_no."""
+    """Rows of a record follow each other in the order of chunk_no; a partition holds whole records."""
     columns = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-    reader = RecordReader()
+    reader = None
     for batch in batches:
         rows = []
-        for last, data in batch[["is_last", "data"]].itertuples(index=False):
-            reader.add(data)
+        for record_id, chunk_no, last, data, digest in batch[CHUNK_COLUMNS].itertuples(index=False):
+            reader = reader or RecordReader(record_id)
+            reader.add(record_id, chunk_no, data, digest)
             if last:
                 rows.append(reader.row())
-                reader = RecordReader()
+                reader = None
         yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
+    if reader:
+        raise ValueError(f"WARC record {reader.record_id}: chunk {reader.next_chunk} is missing, nothing follows")
 
 
 def to_chunks(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 100, when: str = "1970-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
@@ -158,8 +175,8 @@ def to_chunks(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 def read_records(chunks: DataFrame) -> DataFrame:
     """Records of one chunk are read where they are; only the chunks of longer ones are shuffled."""
-    whole = chunks.where("chunk_no = 0 and is_last").select("is_last", "data")
-    parts = chunks.where("not (chunk_no = 0 and is_last)").repartition("record_id").sortWithinPartitions("record_id", "chunk_no").select("is_last", "data")
+    whole = chunks.where("chunk_no = 0 and is_last").select(CHUNK_COLUMNS)
+    parts = chunks.where("not (chunk_no = 0 and is_last)").repartition("record_id").sortWithinPartitions("record_id", "chunk_no").select(CHUNK_COLUMNS)
     return whole.mapInPandas(read_chunks, RECORD_SCHEMA).unionByName(parts.mapInPandas(read_chunks, RECORD_SCHEMA))
 
 
