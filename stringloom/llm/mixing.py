@@ -2,13 +2,17 @@
 
 A source's weight is its token share to the power of an exponent in [0, 1], normalised. The
 exponent is bisected (CUTS parts at a time): the smallest that repeats no source more than
-max_repeats times, or the one that gives a target entropy. Each source gets its weight's part of
+max_repeats times, or the one that gives a target entropy. Limits that no exponent meets (a budget
+of more than max_repeats passes over the corpus, an entropy below that of the unchanged shares)
+raise a ValueError. Each source gets its weight's part of
 the token budget: whole passes over its documents (epochs) and a last, partial one. In each epoch
 a source's documents are dealt by hash into blocks of about block_tokens tokens, ordered by hash
 inside; the partial epoch takes blocks in order, and of the block in which the budget ends, the
 documents that begin before that end. slot in [0, 1) spreads a source's blocks over the run.
 
-Neither sources nor documents are gathered on the driver: the bisection sees sums alone.
+Neither sources nor documents are gathered on the driver: the bisection sees sums alone. A hot
+source's blocks are summed in spans of SPAN blocks first, so that no window runs over all of them.
+The result names the uses of documents; their texts stay where they are and join by doc_id.
 
 Cases: a null source is the source "". A null or empty text has 0 tokens and comes with each
 whole epoch. Sources without tokens have weight 0 and no rows. Rows that repeat are dealt each
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, written
 
-CUTS, ROUNDS = 16, 7
+CUTS, ROUNDS, SPAN = 16, 7, 1024
 
 
 def token_count(text: Column) -> Column:
@@ -44,13 +48,19 @@ def _measures(shares: DataFrame, exponents: list[float], budget: float) -> list[
 
 
 def find_exponent(shares: DataFrame, budget: float, *, target_entropy: float | None = None, max_repeats: float | None = None) -> float:
-    """shares has lnp, the log of each source's token share. Entropy and repetition fall with the exponent."""
+    """shares has lnp, the log of each source's token share. Entropy and repetition fall with the exponent.
+
+    A target entropy over that of equal weights gives equal weights.
+    """
     low, high = 0.0, 1.0
     if target_entropy is None and max_repeats is None:
         return 1.0
     fits = lambda m: (target_entropy is None or m[0] <= target_entropy) and (max_repeats is None or m[1] <= max_repeats)
-    if fits(_measures(shares, [low], budget)[0]):
+    equal, unchanged = _measures(shares, [low, high], budget)
+    if fits(equal):
         return low
+    if not fits((unchanged[0] - 1e-9, unchanged[1] * (1 - 1e-9))):
+        raise ValueError(f"no exponent in [0, 1] meets the limits: at 1 the entropy is {unchanged[0]:.6f} and the corpus is used {unchanged[1]:.6f} times")
     for _ in range(ROUNDS):
         grid = [low + (high - low) * i / CUTS for i in range(CUTS + 1)]
         ok = next((i for i, m in enumerate(_measures(shares, grid, budget)) if i and fits(m)), CUTS)
@@ -79,8 +89,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     whole = used.where("epoch < whole")
     last = used.where("epoch = whole and rest > 0")
     filled = last.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    filled = filled.withColumn("before", before)
+    spans = filled.groupBy("source", F.floor(F.col("block") / SPAN).alias("span")).agg(F.sum("tokens").alias("span_tokens"))
+    ahead = lambda tokens, order, *keys: F.coalesce(F.sum(tokens).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("source", "span", ahead("span_tokens", "span", "source").alias("span_before"))
+    filled = filled.withColumn("span", F.floor(F.col("block") / SPAN)).withColumn("inside", ahead("tokens", "block", "source", "span")).join(spans, ["source", "span"])
+    filled = filled.select("source", "block", "tokens", (F.col("span_before") + F.col("inside")).alias("before"))
     last = last.join(filled, ["source", "block"]).where("before < rest")
     inside = last.where("before + tokens <= rest")
     inner = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("order", "doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -312,7 +312,31 @@ def test_warc_members_are_gzip():
     parts = list(member_chunks(head, payload, 64))
     assert len(parts) > 1
     assert gzip.decompress(b"".join(p[2] for p in parts)) == head + payload.encode() + b"\r\n\r\n"
-    assert parts[-1][3] == digest
+    assert parts[-1][3] == hashlib.sha256(b"".join(p[2] for p in parts)).hexdigest()
+
+
+def test_warc_reader_tells_lost_chunks(spark):
+    r = random.Random(3)
+    big = "".join(r.choice("abcdefgh") for _ in range(9000))
+    rows = spark.createDataFrame([(i, "u", f"{i}{big}") for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    chunks = to_chunks(rows, chunk=700).collect()
+    names = ["record_id", "chunk_no", "is_last", "data", "running_digest"]
+    last = max(c.chunk_no for c in chunks if c.record_id == "0-1")
+    assert last > 3
+    table = lambda keep: spark.createDataFrame([tuple(c[n] for n in names) for c in keep], "record_id string, chunk_no int, is_last boolean, data binary, running_digest string")
+    assert read_records(table(chunks[::-1])).count() == 4
+    hit = lambda c, n: c.record_id == "0-1" and c.chunk_no == n
+    swapped = [(c.asDict() | {"chunk_no": {1: 2, 2: 1}.get(c.chunk_no, c.chunk_no)}) if c.record_id == "0-1" else c for c in chunks]
+    changed = [(c.asDict() | {"data": bytes([c.data[0] ^ 1]) + c.data[1:]}) if hit(c, 2) else c for c in chunks]
+    for broken in ([c for c in chunks if not hit(c, last)], [c for c in chunks if not hit(c, 0)], [c for c in chunks if not hit(c, 2)], swapped, changed, [*chunks, *[c for c in chunks if hit(c, 1)]]):
+        with pytest.raises(Exception, match="WARC record 0-1"):
+            read_records(table(broken)).collect()
+
+
+def test_warc_clashing_names_and_long_payload(spark):
+    df = spark.createDataFrame([(1, "u", "é" * 300_000, 5), (2, "u", "é" * 300_000, 5)], "page_id long, url string, html string, digest int").withColumns({"length": F.lit(1), "refers_to": F.lit(2), "n": F.lit(3), "again_id": F.lit(4)})
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in archive_pages(df, chunk=100).collect())
+    assert got == [(1, 600_000, "response", None), (2, 600_000, "revisit", 1)]
 
 
 def brute_lines(texts, at_least):
@@ -403,6 +427,62 @@ def test_mixing_budgets(spark):
     assert Counter(map(tuple, mix(df, max_repeats=2.0, block_tokens=100).collect())) == Counter(map(tuple, out))
 
 
+def brute_mix(rows, max_repeats, block_tokens, hashes):
+    """The uses of documents by the definition, from the hashes that Spark gives."""
+    own = Counter()
+    for r in rows:
+        own[r.source] += r.n_tokens
+    total, own = sum(own.values()), {s: n for s, n in own.items() if n}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        z = sum((n / total) ** a for n in own.values())
+        low, high = (low, a) if max((n / total) ** a / z * total / n for n in own.values()) <= max_repeats else (a, high)
+    z = sum((n / total) ** high for n in own.values())
+    out = Counter()
+    for s, n in own.items():
+        budget = (n / total) ** high / z * total
+        whole, rest, blocks = int(budget / n), budget - int(budget / n) * n, math.ceil(n / block_tokens)
+        mine = [r for r in rows if r.source == s]
+        for epoch in range(whole):
+            out.update((r.doc_id, s, epoch) for r in mine)
+        dealt = sorted((hashes[whole, r.doc_id][1] % blocks, hashes[whole, r.doc_id][0], r.doc_id, r.n_tokens) for r in mine)
+        used = 0
+        for block in range(blocks):
+            members = [x for x in dealt if x[0] == block]
+            size = sum(x[3] for x in members)
+            at = used
+            for _, _, doc_id, tokens in members:
+                if used < rest and (used + size <= rest or at < rest):
+                    out[doc_id, s, whole] += 1
+                at += tokens
+            used += size
+    return out
+
+
+def test_mixing_matches_the_definition(spark, monkeypatch):
+    monkeypatch.setattr("stringloom.llm.mixing.SPAN", 3)
+    r = random.Random(11)
+    rows = [(i, " ".join("w" for _ in range(r.randrange(1, 30))) + f" {i}", "big" if i % 10 else f"s{i % 30}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("q") for c in ("block", "tokens", "span", "order", "h", "epoch")})
+    h = F.xxhash64(F.lit(0), F.col("text"))
+    order = F.xxhash64(F.lit(0), F.col("e"), F.col("doc_id"), h)
+    known = df.select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("e")).select("doc_id", "e", order.alias("o"), F.xxhash64(F.lit("block"), order).alias("b")).collect()
+    hashes = {(x.e, x.doc_id): (x.o, x.b) for x in known}
+    tokens = [type("R", (), {"doc_id": i, "source": s, "n_tokens": len(t.split())}) for i, t, s in rows]
+    got = Counter((x.doc_id, x.source, x.epoch) for x in mix(df, max_repeats=2.0, block_tokens=100).collect())
+    assert got == brute_mix(tokens, 2.0, 100, hashes)
+
+
+def test_mixing_refuses_limits_that_nothing_meets(spark):
+    df = docs(spark, [(1, "a b c"), (2, "d e"), (3, "f " * 70000)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
+    with pytest.raises(ValueError, match="no exponent"):
+        mix(df, budget_ratio=5.0, max_repeats=2.0)
+    with pytest.raises(ValueError, match="no exponent"):
+        mix(df, target_entropy=0.00001)
+    assert {x.n_tokens for x in mix(df, budget_ratio=2.0, max_repeats=2.0).collect()} == {3, 2, 70000}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
