@@ -15,7 +15,7 @@ from stringloom.llm.components import components
 from stringloom.llm.decontaminate import ItemIndex, drop_contaminated, find_matches, simhash, word_hashes
 from stringloom.llm.fingerprint import edited_fingerprints, fingerprint_documents, next_ids
 from stringloom.llm.html_text import extract_text, main_text
-from stringloom.llm.license_scan import scan_licenses
+from stringloom.llm.license_scan import TEMPLATES, Templates, scan_licenses, words
 from stringloom.llm.line_dedup import dedup_lines
 from stringloom.llm.mixing import find_exponent, mix
 from stringloom.llm.near_dedup import drop_near_duplicates, near_duplicates, odd_sketch, shingle_set, signature
@@ -373,6 +373,43 @@ def test_license_scan(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
+def test_license_cosine_matches_brute_force():
+    r = random.Random(7)
+    vocabulary = sorted({w for t in TEMPLATES.values() for x in t for w in words(x)})
+    files, frequency = 40, {w: r.randrange(40) for w in vocabulary}
+    scanner = Templates(TEMPLATES, files, frequency)
+    idf = lambda w: math.log((1 + files) / (1 + (frequency.get(w, 0) if w in frequency else 0))) + 1
+    for _ in range(60):
+        w = [r.choice([*vocabulary, "zzz", "qqq"]) for _ in range(r.randrange(1, 40))] if r.random() < 0.5 else words(r.choice(r.choice(list(TEMPLATES.values()))))[r.randrange(3) :]
+        a, best = Counter(w), []
+        for name, t in TEMPLATES.items():
+            for x in t:
+                b = Counter(words(x))
+                dot = sum(a[k] * b[k] * idf(k) ** 2 for k in a)
+                norm = lambda c: math.sqrt(sum((n * idf(k)) ** 2 for k, n in c.items()))
+                best.append((-round(dot / (norm(a) * norm(b)), 9), name) if a else (0.0, name))
+        got = scanner.best(a)
+        assert abs(got[0] - min(best)[0]) < 1e-8
+        assert got[1] in {n for s, n in best if abs(s - min(best)[0]) < 1e-8}
+
+
+def test_license_notices_inside_text_ties_and_names(spark):
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [
+        ("a/x.c", f"Some ordinary sentence about other things entirely. {apache} Another ordinary sentence of prose follows here."), ("a/y.c", f"words of prose here\n{apache}\nmore words of prose\nReleased under the MIT License.\nand prose"),
+        ("p/LICENSE.txt", apache), ("p/LICENSE", apache), ("p/sub/z.c", "nothing"), ("q/COPYING", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+        ("r/g.c", "code here and there\nThis program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\nmore code"), ("long.c", "ordinary prose goes on. " * 40000 + apache),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit("q") for c in ("own", "share", "dir", "given")})
+    got = {x.path: x for x in scan_licenses(df, keep=("own", "share")).collect()}
+    assert (got["a/x.c"].license, got["a/x.c"].origin) == ("Apache-2.0", "header")
+    assert got["a/y.c"].licenses == ["Apache-2.0", "MIT"]
+    assert (got["p/sub/z.c"].license_path, got["p/sub/z.c"].own) == ("p/LICENSE", "q")
+    assert (got["q/COPYING"].license, got["q/COPYING"].origin) == ("BSD-2-Clause", "file")
+    assert got["r/g.c"].license == "GPL-2.0"
+    assert got["long.c"].license == "Apache-2.0"
+
+
 def test_url_filter_matches_brute_force(spark):
     rules = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "bad-site.org", "")]
     r = random.Random(9)
