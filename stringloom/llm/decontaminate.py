@@ -11,8 +11,9 @@ the sum of greatest shingle counts, at least `similarity`.
 What lies beyond the radius is lost, and no radius rules that out. RADIUS is meant for
 similarities of 0.8 and more, where the README has the measured share; lower ones lose more.
 
-The items are the stated query set: they are taken in blocks of at most BLOCK_BYTES of text, each
-of which is broadcast and meets all documents.
+The items are the stated query set: they are taken in blocks of about BLOCK_WORDS words, each of
+which is broadcast and meets all documents. An index is made of NumPy arrays, some 40 bytes a word.
+Of several blocks one is held at a time: its matches are written before the next is read.
 
 Cases: null and empty texts hold nothing. Items with fewer than five words have their whole
 sequence as one shingle and are met where it occurs. Items without words are never met. Rows that
@@ -22,7 +23,6 @@ repeat are judged each. The best window counts for a document and item (ties: th
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHINGLE, BITS, BLOCKS, RADIUS = 5, 128, 8, 39
-BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 1 << 20
 WORD = re.compile(r"\w+")
 _ODD = np.random.default_rng(7).integers(1, 2**63, size=16, dtype=np.uint64) | np.uint64(1)
 MATCHES = "item_id long, start_word long, n_words long, hamming long, similarity double"
@@ -69,28 +69,33 @@ def simhash(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(f))
 
 
+def counted(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles and how often each occurs."""
+    return np.unique(shingles(h, size), return_counts=True)
+
+
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.sizes, self.counts, prints = [], [], [], []
-        where: dict[int, set[tuple[int, int]]] = defaultdict(set)  # shingle -> (window size, offset)
-        self.short: set[int] = set()
-        for item_id, text in items:
-            h = word_hashes(text)
-            if not len(h):
-                continue
-            size = min(SHINGLE, len(h))
-            own = shingles(h, size)
-            self.ids.append(item_id)
-            self.sizes.append(len(h))
-            self.counts.append(Counter(own.tolist()))
-            prints.append(simhash(h))
-            if size < SHINGLE:
-                self.short.add(size)
-            for offset, s in enumerate(own.tolist()):
-                where[s].add((len(h), offset))
-        self.where = dict(where)
-        self.known = np.array(sorted(where), np.uint64)
-        self.prints = np.array(prints, np.uint8).reshape(-1, BITS // 8)
+        hashes = [(item_id, h) for item_id, text in items if len(h := word_hashes(text))]
+        self.ids = [item_id for item_id, _ in hashes]
+        self.sizes = np.array([len(h) for _, h in hashes], np.int64)
+        bags = [counted(h, min(SHINGLE, len(h))) for _, h in hashes]
+        flat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+        #: The items' shingles and their counts, item i's at first[i] to first[i + 1].
+        self.bag, self.counts = flat([b[0] for b in bags], np.uint64), flat([b[1] for b in bags], np.int64)
+        self.first = np.cumsum([0, *(len(b[0]) for b in bags)])
+        self.short = {int(n) for n in self.sizes if n < SHINGLE}
+        #: Where a shingle places windows: sorted by shingle, (window size, offset) each.
+        placed = [shingles(h, min(SHINGLE, len(h))) for _, h in hashes]
+        shingle, offset = flat(placed, np.uint64), flat([np.arange(len(p)) for p in placed], np.int32)
+        size = np.repeat(self.sizes, [len(p) for p in placed]).astype(np.int32)
+        order = np.lexsort((offset, size, shingle))
+        shingle, size, offset = shingle[order], size[order], offset[order]
+        new = np.ones(len(shingle), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (size[1:] != size[:-1]) | (offset[1:] != offset[:-1])
+        self.known, self.at, self.n = np.unique(shingle[new], return_index=True, return_counts=True)
+        self.size, self.offset = size[new], offset[new]
+        self.prints = np.array([simhash(h) for _, h in hashes], np.uint8).reshape(-1, BITS // 8)
         #: Of each block: its distinct keys, and each item's place among them.
         self.blocks = [np.unique(column, return_inverse=True) for column in self.prints.view(np.uint16).T]
 
@@ -103,34 +108,39 @@ class ItemIndex:
         apart = np.bitwise_count(self.prints[order] ^ code).sum(axis=1)
         return [(int(i), int(d)) for i, d in zip(order, apart, strict=True) if d <= RADIUS]
 
-    def windows(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(start, size) of the windows that a shared shingle places."""
-        out = set()
+    def windows(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(start, size) of the windows that a shared shingle places, in order."""
+        out: set[tuple[int, int]] = set()
         for size in {SHINGLE, *self.short}:
             own = shingles(h, size)
             if not len(own) or not len(self.known):
                 continue
-            at = np.searchsorted(self.known, own)
-            hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == own)
-            for p in hits.tolist():
-                for n, offset in self.where[int(own[p])]:
-                    if (n >= SHINGLE) == (size == SHINGLE) and (n >= SHINGLE or n == size):
-                        out.add((max(0, min(p - offset, len(h) - n)), n))
-        return out
+            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            hits = np.flatnonzero(self.known[at] == own)
+            if not len(hits):
+                continue
+            first, n = self.at[at[hits]], self.n[at[hits]]
+            entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            window, place = self.size[entry].astype(np.int64), np.repeat(hits, n)
+            fits = window >= SHINGLE if size == SHINGLE else window == size
+            start = np.maximum(0, np.minimum(place - self.offset[entry], len(h) - window))[fits]
+            out.update(zip(start.tolist(), window[fits].tolist(), strict=True))
+        return sorted(out)
 
     def matches(self, text: str | None, similarity: float) -> list[tuple[int, int, int, int, float]]:
         h = word_hashes(text)
         best: dict[int, tuple] = {}
-        for start, n in sorted(self.windows(h)):
+        for start, n in self.windows(h):
             part = h[start : start + n]
-            counted: dict[int, Counter] = {}
+            bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for i, apart in self.within(simhash(part)):
-                size = min(SHINGLE, self.sizes[i])
-                if size not in counted:
-                    counted[size] = Counter(shingles(part, size).tolist())
-                a, b = counted[size], self.counts[i]
-                both = sum((a & b).values())
-                s = both / (sum(a.values()) + sum(b.values()) - both)
+                size = min(SHINGLE, int(self.sizes[i]))
+                if size not in bags:
+                    bags[size] = counted(part, size)
+                (a, na), own = bags[size], slice(self.first[i], self.first[i + 1])
+                _, x, y = np.intersect1d(a, self.bag[own], assume_unique=True, return_indices=True)
+                both = int(np.minimum(na[x], self.counts[own][y]).sum())
+                s = both / (int(na.sum() + self.counts[own].sum()) - both) if both else 0.0
                 if s >= similarity and (i not in best or s > best[i][4]):
                     best[i] = (self.ids[i], start, len(part), apart, s)
         return list(best.values())
@@ -139,11 +149,12 @@ class ItemIndex:
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size > BLOCK_BYTES:
+        words = len(WORD.findall(row[1]))
+        if block and size + words > BLOCK_WORDS:
             yield block
             block, size = [], 0
+        block.append((row[0], row[1]))
+        size += words
     if block:
         yield block
 
@@ -172,7 +183,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         return rows.mapInArrow(run, schema)
 
-    parts = [scan(spark.sparkContext.broadcast(ItemIndex(block))) for block in item_blocks(benchmark, item_col, item_text)]
+    parts, blocks = [], item_blocks(benchmark, item_col, item_text)
+    block = next(blocks, None)
+    while block is not None:
+        shared, block = spark.sparkContext.broadcast(ItemIndex(block)), next(blocks, None)
+        if block is None and not parts:
+            return scan(shared)
+        parts.append(written(scan(shared), "matches"))
+        shared.unpersist()
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 

@@ -169,6 +169,27 @@ def test_decontamination_recall_at_the_threshold():
     assert missed == 0
 
 
+def test_decontamination_in_blocks_ties_long_texts_and_clashing_names(spark, monkeypatch):
+    r = random.Random(6)
+    items = [(i, " ".join(f"q{r.randrange(400)}" for _ in range(30))) for i in range(6)]
+    texts = [(1, f"a b c {items[2][1]} d {items[5][1]}"), (1, items[2][1]), (2, items[2][1] + " x " + items[2][1]), (3, "word " * 60000 + items[0][1]), (None, items[4][1]), (4, "clean")]
+    df = docs(spark, texts).withColumns({c: F.lit("z") for c in ("item_id", "similarity", "hamming", "key", "__id", "id")})
+    bench = spark.createDataFrame([*items, (9, items[2][1])], "item_id long, text string")
+    rows = lambda: Counter((m.doc_id, m.item_id, m.start_word) for m in find_matches(df, bench).collect())
+    whole = rows()
+    assert whole == Counter([(1, 2, 3), (1, 9, 3), (1, 5, 34), (1, 2, 0), (1, 9, 0), (2, 2, 0), (2, 9, 0), (3, 0, 60000), (None, 4, 0)])
+    monkeypatch.setattr("stringloom.llm.decontaminate.BLOCK_WORDS", 60)
+    assert rows() == whole
+    assert [x.doc_id for x in drop_contaminated(df, bench).collect()] == [4]
+
+
+def test_decontamination_index_is_bounded():
+    r = random.Random(8)
+    items = [(i, " ".join(f"q{r.randrange(10**6)}" for _ in range(40))) for i in range(2500)]
+    arrays = [v for v in vars(ItemIndex(items)).values() if hasattr(v, "nbytes")]
+    assert sum(a.nbytes for a in arrays) <= 60 * 40 * 2500
+
+
 def test_simhash_of_equal_words_is_equal():
     assert (simhash(word_hashes("One two three")) == simhash(word_hashes("one, two. THREE!"))).all()
 
