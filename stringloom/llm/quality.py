@@ -1,21 +1,27 @@
 """Quality classifier (3): importance resampling with hashed n-gram generative models.
 
-Two generative models over hashed n-grams (the first 4 and 5 letters of a word, its shape with
-trailing punctuation, pairs of shapes, immediate repetition) are counted: one of target text
-(labelled rows of quality 1 that are not toxic), one of raw text (all documents). A feature's log
-ratio compares its target count with the raw count at the target's scale, ALPHA added to each, so
-that rare features say nothing. A document has
-  - log_weight, the mean log ratio of its features (the importance weight of a feature), whose
-    Gumbel top-k gives the resampled set: log_weight * n_features / temperature + Gumbel noise;
+Two generative models over hashed n-grams (words and word pairs; a word's first 4 and 5 letters,
+its shape with trailing punctuation and pairs of shapes, for words that are rare; immediate
+repetition) are counted: one of target text (labelled rows of quality 1 that are not toxic), one
+of raw text (all documents). A feature's log ratio compares its target count with the raw count at
+the target's scale, ALPHA added to each, so that rare features say nothing. A document has
+  - log_weight, the mean log ratio of its features. Gumbel top-k over it gives the resampled set:
+    the keys are LENGTH * log_weight / temperature + Gumbel noise. LENGTH is the number of features
+    that every document is taken to have, so that length doesn't decide; a temperature near 0
+    takes the best k, a high one a random k;
   - tail, the mean of the log ratios below -FAR alone: text that the target model hardly ever
     makes. It is accepted if tail is at or over a threshold, fitted on held-out labelled rows.
 
+A stage that filters takes `accepted`: resampling leaves out some documents of any quality, and
+such a stage has to keep all clean ones.
+
 The labelled sample is bounded (LABELLED rows, those of the smallest hashed ids); the raw counts
 cover every document. Models have BUCKETS entries whatever the corpus.
 
 Cases: a null or empty text has no features: weight and tail 0, accepted. Without labelled rows of
 both kinds everything is accepted. Rows that repeat are judged each, with noise of their own id;
-null ids draw noise from the text. Only the id and text columns are read.
+null ids draw noise from the text. Equal keys are sampled or left together, so that ties at the
+k-th key can make the sample larger than k. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -31,12 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BUCKETS, ALPHA, FAR, LABELLED = 1 << 18, 1.0, 1.5, 20_000
+BUCKETS, ALPHA, FAR, LABELLED = 1 << 19, 1.0, 1.5, 20_000
+#: Features that resampling takes every document to have.
+LENGTH = 100
 #: Share of the labelled sample that fits the threshold rather than the target model.
 HELD_OUT = 3
 #: What losing a good document weighs against keeping a bad one.
 LOSS = 3.0
-SHAPES = 64
+SHAPES, PAIR = 64, np.uint64(0x9E3779B97F4A7C15)
 #: Features that are gathered before they are counted.
 HELD = 1 << 20
 #: Parts of a range that kth_largest counts at a time.
@@ -46,25 +54,26 @@ TRAIL = re.compile(r"[^\w\s]{2,}$")
 
 
 class Features(dict):
-    """Token -> number of a row of `rows` (buckets of the token's own features); bounded."""
+    """Token -> number of a row of `rows` (buckets of the token's own features) and of `codes` (its word's hash); bounded."""
 
     LIMIT = 1 << 19
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows, self.shapes = np.zeros((1 << 12, 3), np.int64), np.zeros(1 << 12, np.int64)
+        self.rows, self.shapes, self.codes = np.zeros((1 << 12, 4), np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, token: str) -> int:
         n = len(self)
         if n == len(self.rows):
-            self.rows, self.shapes = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.shapes, np.zeros_like(self.shapes)])
+            self.rows, self.shapes, self.codes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.shapes, self.codes))
         word = TOKEN.match(token)[1]
         trail = TRAIL.search(token)
         kind = 0 if not word else 1 if word[0].isdigit() else 2 if word.isupper() and len(word) > 1 else 3
         shape = kind * 16 + (1 + xxhash.xxh3_64_intdigest(trail[0][:3]) % 15 if trail else 0)
         low = word.lower()
-        at = lambda x: xxhash.xxh3_64_intdigest(x) % (BUCKETS - SHAPES * SHAPES - 2) + SHAPES * SHAPES + 2
-        self.rows[n] = (at("4" + low[:4]), at("5" + low[:5]), at("s" + str(shape)))
+        self.codes[n] = code = xxhash.xxh3_64_intdigest(low)
+        at = lambda x: bucket_of(xxhash.xxh3_64_intdigest(x))
+        self.rows[n] = (bucket_of(code), at("4" + low[:4]), at("5" + low[:5]), at("s" + str(shape)))
         self.shapes[n] = shape
         self[token] = n
         return n
@@ -76,9 +85,15 @@ class Features(dict):
         if len(self) > self.LIMIT:
             self.clear()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        shapes = self.shapes[ids]
+        shapes, codes = self.shapes[ids], self.codes[ids]
         pairs = shapes[:-1] * SHAPES + shapes[1:]
-        return np.concatenate([self.rows[ids].ravel(), pairs, np.full(int((ids[1:] == ids[:-1]).sum()), SHAPES * SHAPES)])
+        following = bucket_of((codes[:-1] * PAIR + codes[1:]) >> np.uint64(11)).astype(np.int64)
+        return np.concatenate([self.rows[ids].ravel(), pairs, following, np.full(int((ids[1:] == ids[:-1]).sum()), SHAPES * SHAPES)])
+
+
+def bucket_of(code):
+    """The bucket of a 64-bit hash, behind those of the shape pairs and of repetition."""
+    return code % (BUCKETS - SHAPES * SHAPES - 2) + (SHAPES * SHAPES + 2)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +148,9 @@ class ImportanceModel:
         marked = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("__id")).join(sample, "__id", "left")
         counted = marked.select("text", F.coalesce(F.col("good") & ~F.col("held"), F.lit(False)).alias("target")).mapInArrow(_count, "bucket long, raw long, target long")
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for bucket, r, t in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # BUCKETS rows at most
-            raw[bucket], target[bucket] = r, t
+        summed = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows at most
+        at = summed["bucket"].to_numpy()
+        raw[at], target[at] = summed["raw"].to_numpy(), summed["target"].to_numpy()
         scale = target.sum() / raw.sum() if raw.sum() else 0.0
         self.ratios = np.log((target + ALPHA) / (raw * scale + ALPHA)) if scale else np.zeros(BUCKETS)
         self.shared = spark.sparkContext.broadcast(self.ratios)
@@ -144,7 +160,7 @@ class ImportanceModel:
 
     def score(self, docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The columns `keep` with n_features, log_weight, tail and accepted."""
-        rows = docs.select(*keep, F.col(text_col).alias("__text"))
+        rows = docs.select(*keep, F.col(text_col).alias("__text"))  # keep must not hold names of the result
         schema = rows.select(*keep).schema.add("n_features", "long").add("log_weight", "double").add("tail", "double")
         return rows.mapInArrow(_scores(self.shared), schema).withColumn("accepted", F.col("tail") >= self.threshold)
 
@@ -202,7 +218,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
 def resample(scored: DataFrame, share: float, *, id_col: str = "doc_id", temperature: float = 1.0, seed: int = 0) -> DataFrame:
     """scored with gumbel_key and sampled: the ceil(share * rows) largest keys (ties are all in)."""
     unit = (F.pmod(F.xxhash64(F.lit(seed), id_col, "n_features", "log_weight"), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
-    keyed = written(scored.withColumn("gumbel_key", F.col("log_weight") * F.col("n_features") / temperature - F.log(-F.log(unit))), "gumbel")
+    keyed = written(scored.withColumn("gumbel_key", F.col("log_weight") * LENGTH / temperature - F.log(-F.log(unit))), "gumbel")
     k = int(np.ceil(share * keyed.count()))
     cut = kth_largest(keyed, "gumbel_key", k)
     return keyed.withColumn("sampled", F.lit(False) if cut is None else F.col("gumbel_key") >= F.lit(cut))

@@ -19,7 +19,7 @@ from stringloom.llm.license_scan import TEMPLATES, Templates, scan_licenses, wor
 from stringloom.llm.line_dedup import dedup_lines
 from stringloom.llm.mixing import find_exponent, mix
 from stringloom.llm.near_dedup import drop_near_duplicates, near_duplicates, odd_sketch, shingle_set, signature
-from stringloom.llm.quality import ImportanceModel, best_threshold, kth_largest, resample
+from stringloom.llm.quality import FAR, LENGTH, Features, ImportanceModel, best_threshold, kth_largest, resample
 from stringloom.llm.url_filter import Rule, filter_urls
 from stringloom.llm.warc import archive_pages, member_chunks, read_records, record_header, to_chunks
 
@@ -231,6 +231,48 @@ def test_quality_edges(spark):
     assert best_threshold([0.0, -1.0], [True, True]) == float("-inf")
 
 
+def test_quality_matches_brute_force(spark):
+    """Counts, ratios, weights, tails and the Gumbel top-k, from their definitions."""
+    rows, labels = quality_rows(120)
+    rows += [(900, None), (901, "one"), (902, "again again again " * 30000)]
+    df = docs(spark, rows).withColumns({c: F.lit(1) for c in ("bucket", "raw", "target", "good", "held", "log_weight", "__text2")})
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = ImportanceModel(df, known)
+    held = {r.doc_id for r in known.where(F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id")), F.lit(3)) == 0).collect()}
+    features = Features()
+    bag = {i: Counter(features.of(t).tolist()) for i, t in rows}
+    good = {i for i, q, t in labels if q and not t}
+    raw, target = Counter(), Counter()
+    for i, c in bag.items():
+        raw.update(c)
+        if i in good and i not in held:
+            target.update(c)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {f: math.log((target[f] + 1) / (n * scale + 1)) for f, n in raw.items()}
+    scored = model.score(df)
+    got = {r.doc_id: r for r in scored.collect()}
+    for i, c in bag.items():
+        n = sum(c.values())
+        assert got[i].n_features == n
+        assert abs(got[i].log_weight - (sum(k * ratio[f] for f, k in c.items()) / n if n else 0)) < 1e-9
+        assert abs(got[i].tail - (sum(k * ratio[f] for f, k in c.items() if ratio[f] < -FAR) / n if n else 0)) < 1e-9
+    noise = scored.select("doc_id", ((F.pmod(F.xxhash64(F.lit(5), "doc_id", "n_features", "log_weight"), F.lit(2**52)) + 0.5) / 2.0**52).alias("u")).collect()
+    keys = {r.doc_id: LENGTH * got[r.doc_id].log_weight / 2.0 - math.log(-math.log(r.u)) for r in noise}
+    chosen = set(sorted(keys, key=lambda i: -keys[i])[: math.ceil(0.3 * len(rows))])
+    assert {r.doc_id for r in resample(scored, 0.3, temperature=2.0, seed=5).where("sampled").collect()} == chosen
+
+
+def test_quality_features_are_words_and_pairs():
+    of = lambda t: set(Features().of(t).tolist())
+    assert of("alpha beta gamma") != of("gamma alpha beta")
+    assert of("international") != of("internal")
+
+
+def test_quality_ties_are_sampled_together(spark):
+    same = spark.createDataFrame([(None, 3, 0.5)] * 10 + [(1, 3, 0.1)], "doc_id long, n_features long, log_weight double")
+    assert resample(same, 0.2).where("sampled").count() in (1, 10, 11)
+
+
 def test_kth_largest(spark):
     r = random.Random(2)
     values = [r.choice([r.gauss(0, 1e6), r.random(), 3.0]) for _ in range(3000)]
