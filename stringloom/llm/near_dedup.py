@@ -13,8 +13,13 @@ Pairs whose sketches are within the bound of the threshold (five standard deviat
 confirmed on the full sets; those make components. Where a bucket's members are then still in
 different components, a finer Odd sketch of them (FINE_SAMPLES values) tells which could link
 across components. These make families, in which the full sets of all members are compared in
-blocks of BLOCK, except those of one component: no link between components is lost, copies of
-one thing are never paired among themselves, and no table of pairs is written.
+blocks of about BLOCK shingles, except those of one component: a component's copies are never
+compared among themselves, and no table of pairs of texts is written. Sets are made once for each
+member; a block of them is held while the family's later blocks pass, so that work and transfer in
+a family of W shingles outside its largest component grow with W * W / BLOCK.
+
+What may be lost: a pair at the threshold that shares no band (above), or whose sketches differ by
+more than five standard deviations (3e-7 for each of the two sketches).
 
 Cases: a null or empty text, or one of white space only, has an empty set and is linked with
 nothing. With fewer words than a shingle the whole sequence is one shingle. Rows that repeat an
@@ -41,8 +46,8 @@ SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 32, 4, 256
 FINE_SAMPLES, FINE_BITS = 1024, 2048
 #: Members of a star that one task compares with the centre.
 STAR = 512
-#: Members of a bucket outside its centre's component, and of a family, that a task holds at a time.
-CHUNK, BLOCK = 512, 128
+#: Members of a bucket outside its centre's component, and shingles of a family, that a task holds at a time.
+CHUNK, BLOCK = 512, 1 << 21
 
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=FINE_SAMPLES + 16, dtype=np.uint64) | np.uint64(1)
 _MULTIPLIERS, _FOLD = _MIX[16:, None], _MIX[:16]
@@ -126,6 +131,14 @@ def _fine(size: int):
     return run
 
 
+def _whole_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), size).tobytes() for x in batch.column(1)], pa.binary())], ["id", "shingles"])
+
+    return run
+
+
 class _Sets(dict):
     """Disjoint sets."""
 
@@ -206,18 +219,18 @@ class _Block:
         return np.bincount(self.owner[places], minlength=len(self.rows))
 
 
-def _across_blocks(size: int, above: int, out_of: int):
-    """Rows (family, i, j, right, id, c, text) in this order -> links, one for two components of a pair of blocks."""
+def _across_blocks(above: int, out_of: int):
+    """Rows (family, i, j, right, id, c, shingles) in this order -> links, one for two components of a pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, met = None, _Block(), set()
         for batch in batches:
             a_out, b_out = [], []
-            for family, i, j, right, row, c, text in zip(*(batch.column(k) for k in range(7)), strict=True):
+            for family, i, j, right, row, c, shingles in zip(*(batch.column(k) for k in range(7)), strict=True):
                 now = (family.as_py(), i.as_py(), j.as_py())
                 if now != key:
                     key, block, met = now, _Block(), set()
-                row, c, s = row.as_py(), c.as_py(), shingle_set(text.as_py(), size)
+                row, c, s = row.as_py(), c.as_py(), np.frombuffer(shingles.as_py(), np.uint64)
                 if not right.as_py():
                     block.add(row, c, s)
                     continue
@@ -293,7 +306,7 @@ class NearDuplicates:
         self._confirm(self._near(first, sketches))
         other = self._named(buckets).where("c != pc").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         self._confirm(self._best(self._near(other, sketches)))
-        self._across(self._named(buckets))
+        self._across(self._named(buckets), reps.select("id", "n"))
 
         where = firsts.join(self.labels, firsts.rep == self.labels.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
         known = rows.select("id", "n", "s1", "s2").join(where, ["s1", "s2"], "left")
@@ -315,8 +328,8 @@ class NearDuplicates:
     def _best(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).where("rank = 1").select("a", "b", "apart")
 
-    def _across(self, named: DataFrame) -> None:
-        """Links between the components that meet in a bucket."""
+    def _across(self, named: DataFrame, sizes: DataFrame) -> None:
+        """Links between the components that meet in a bucket; sizes has each representative's number of shingles."""
         outside = written(named.where("c != pc").select("bucket", "id", "c"), "outside")
         if outside.isEmpty():
             return
@@ -331,20 +344,27 @@ class NearDuplicates:
         edges = rows.mapInArrow(_families(self.fine_bound), "a long, b long").distinct()
         family = components(edges).select("id", F.col("component").alias("family"))
 
-        order = Window.partitionBy("family").orderBy("c", "id")
-        members = family.join(self.labels, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
-        members = written(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)), "members")
-        blocks = members.groupBy("family", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        left = blocks.select("family", F.col("block").alias("i"), F.col("low").alias("il"), F.col("high").alias("ih"))
-        right = blocks.select("family", F.col("block").alias("j"), F.col("low").alias("jl"), F.col("high").alias("jh"))
-        pairs = written(left.join(right, "family").where("i <= j and least(il, jl) != greatest(ih, jh)").select("family", "i", "j"), "block_pairs")
+        members = family.join(self.labels, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c")).join(sizes, "id")
+        members = written(members, "members")
+        weights = members.groupBy("family", "c").agg(F.sum("n").alias("w"))
+        alone = F.col("w") >= BLOCK  # such components have blocks of their own; smaller ones share
+        small = weights.where(~alone).groupBy(F.col("family").alias("f")).agg(F.ceil(F.sum("w") / BLOCK).alias("pools"))
+        dealt = written(weights.join(small, weights.family == small.f, "left").select("family", "c", alone.alias("alone"), F.when(alone, F.ceil(F.col("w") / BLOCK)).otherwise(F.col("pools")).alias("parts")), "dealt")
+        part = F.pmod(F.xxhash64(F.when(F.col("alone"), F.col("id")).otherwise(F.col("c"))), F.col("parts"))
+        block = F.xxhash64("alone", F.when(F.col("alone"), F.col("c")), part)
+        members = written(members.join(dealt, ["family", "c"]).select("family", "id", "c", block.alias("block"), F.when(F.col("alone"), F.col("c")).alias("only")), "members")
+        blocks = members.groupBy("family", "block").agg(F.max("only").alias("only"), F.count_distinct("c").alias("cs"))
+        left, right = (blocks.select("family", F.col("block").alias(x), F.col("only").alias(x + "only"), F.col("cs").alias(x + "cs")) for x in "ij")
+        pairs = left.join(right, "family").where("(i < j and not ionly <=> jonly) or (i < j and ionly is null) or (i = j and ics > 1)")
+        pairs = written(pairs.select("family", "i", "j"), "block_pairs")
         wanted = written(members.select("id").distinct(), "ids")
-        whole = written(members.join(self.texts.join(wanted, "id", "left_semi"), "id"), "texts")
-        names = ["family", "i", "j", "right", "id", "c", "text"]
+        sets = self.texts.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(self.size), "id long, shingles binary")
+        whole = written(members.join(sets, "id"), "sets")
+        names = ["family", "i", "j", "right", "id", "c", "shingles"]
         one = pairs.join(whole.withColumnRenamed("block", "i"), ["family", "i"]).withColumn("right", F.lit(False)).select(names)
         two = pairs.join(whole.withColumnRenamed("block", "j"), ["family", "j"]).withColumn("right", F.lit(True)).select(names)
         rows = one.unionByName(two).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "right")
-        self._link(rows.mapInArrow(_across_blocks(self.size, *self.threshold), "a long, b long"))
+        self._link(rows.mapInArrow(_across_blocks(*self.threshold), "a long, b long"))
 
     def _confirm(self, pairs: DataFrame) -> None:
         """Compares the full sets of pairs (a, b) and joins the components of those that link."""

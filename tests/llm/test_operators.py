@@ -77,8 +77,10 @@ def test_near_duplicates_match_all_pairs(spark, k, above):
     assert got == brute_components(texts, k, above)
 
 
-def test_near_duplicates_large_family(spark):
-    """Copies that link only in part: the blocks across components have work."""
+@pytest.mark.parametrize("block", [1 << 21, 3000, 400])
+def test_near_duplicates_large_family(spark, monkeypatch, block):
+    """Copies that link only in part: the blocks across components have work, whatever their size."""
+    monkeypatch.setattr("stringloom.llm.near_dedup.BLOCK", block)
     r = random.Random(5)
     base = [f"t{i}" for i in range(120)]
     texts = []
