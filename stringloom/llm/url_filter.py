@@ -2,7 +2,8 @@
 
 Native throughout. Each rule names a host and a path prefix; it is compiled to a regular
 expression and filed under that of its literal tokens which the fewest URLs hold. A URL's tokens
-fetch the rules filed under them, and only those run their expression.
+fetch the rules filed under them, and only those run their expression. URLs without a host take no
+part in the join, and its other side is a written table, so that Spark can split a hot URL.
 
 Cases: a null URL, or one without "://", has an empty host and path and fits no rule. Of the
 rules that fit, the longest wins (ties: the smaller text). A rule with no literal token is filed
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii
+from .common import fold_ascii, written
 
 PREFIX = "__url_filter_"
 #: Rules are driver-side input; beyond this many the index isn't broadcast by hint.
@@ -80,6 +81,8 @@ def filter_urls(urls: DataFrame, rules: Sequence[Rule], *, url_col: str = "url",
     fits = posted.join(small(rarest), "token").where(F.expr("rlike(concat(h, p), pattern)"))
     best = fits.groupBy("h", "p").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
     best = best.select(F.col("h").alias(PREFIX + "h"), F.col("p").alias(PREFIX + "p"), F.col("best.rule").alias(PREFIX + "rule"), F.col("best.verdict").alias(PREFIX + "verdict"))
-    joined = parsed.join(best, (F.col(host) == F.col(PREFIX + "h")) & (F.col(path) == F.col(PREFIX + "p")), "left")
+    best = written(best, "rules")
+    joined = parsed.where(F.col(host) != "").join(best, (F.col(host) == F.col(PREFIX + "h")) & (F.col(path) == F.col(PREFIX + "p")), "left")
+    joined = joined.unionByName(parsed.where(F.col(host) == ""), allowMissingColumns=True)
     made = {"host": F.col(host), "path": F.col(path), "rule": F.col(PREFIX + "rule"), "verdict": F.coalesce(F.col(PREFIX + "verdict"), F.lit(default))}
     return joined.withColumns(made).drop(host, path, *(PREFIX + x for x in ("h", "p", "rule", "verdict")))

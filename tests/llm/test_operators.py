@@ -585,6 +585,26 @@ def test_mixing_refuses_limits_that_nothing_meets(spark):
     assert {x.n_tokens for x in mix(df, budget_ratio=2.0, max_repeats=2.0).collect()} == {3, 2, 70000}
 
 
+def test_pipeline_on_empty_tables_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    clash = {c: F.lit("q") for c in ("key", "component", "kept_text", "good", "block")}
+    for name, schema in (("documents", DOC), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).withColumns(clash).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert cp.run(spark, f"{tmp_path}/empty").collect() == []
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(1, None), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "a b c d e f g"), (None, "x y z"), (5, "long words " * 30000)]]
+    for name, data, schema in (("documents", rows, DOC), ("labels", [(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, None)], "item_id long, text string")):
+        spark.createDataFrame(data, schema).withColumns(clash).write.parquet(f"{tmp_path}/odd/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, f"{tmp_path}/odd")
+        assert now.columns == cp.COLUMNS
+        now.write.parquet(f"{tmp_path}/odd/{name}")
+        now = spark.read.parquet(f"{tmp_path}/odd/{name}")
+    assert sorted((r.doc_id or 0) for r in now.collect()) == [0, 1, 2, 3, 3, 5]
+    assert cp.run(spark, f"{tmp_path}/odd").count() >= 5
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
