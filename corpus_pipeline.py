@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each a table that the next one reads."""
+"""The corpus pipeline: five stages over documents, each a table that the next one reads.
+
+Cases, in every stage: a null text is judged like an empty one, which is accepted, shares nothing
+and stays; rows that repeat are judged each and share their fate; a row without an id stays unless
+its text is rejected; an empty table gives an empty table; columns other than COLUMNS are dropped.
+"""
 
 from __future__ import annotations
 
@@ -18,29 +23,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts. Without labels of both kinds all are."""
     return ImportanceModel(docs, table(ship(spark), sf_dir, "labels")).accepted(docs.select(COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more hold; n_chars follows."""
+    """Texts without the lines that ten documents or more hold; n_chars follows. A null text becomes an empty one."""
     kept = dedup_lines(docs.select(COLUMNS), min_docs=10, min_chars=1)
     return kept.selectExpr("doc_id", "kept_text as text", "lang", "source", "cast(length(kept_text) as bigint) as n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates, that of the smallest id: five-word shingles, similarity 0.8."""
     ship(spark)
     return drop_near_duplicates(docs.select(COLUMNS), shingle=5, threshold=(80, 100))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Items without words are held by none."""
     return drop_contaminated(docs.select(COLUMNS), table(ship(spark), sf_dir, "benchmark"), similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a row for each use of a document, no source repeated more than twice."""
+    """The training mix: a row for each use of a document, no source repeated more than twice.
+
+    Uses carry doc_id, not the text: a document used twice isn't stored twice.
+    """
     return mix(docs, max_repeats=2.0)
 
 
