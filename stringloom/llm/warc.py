@@ -10,7 +10,8 @@ the same digest: a chunk that is missing, out of order, of another record or cha
 error, and so does a record that its partition doesn't finish.
 
 Of records with equal payloads of at least min_revisit bytes, the one with the smallest id is a
-response and the others are revisits without a body that refer to it.
+response and the others are revisits without a body that refer to it. The table of revisits is
+written; Spark broadcasts it where its size allows that and shuffles the payloads otherwise.
 
 Cases: a null payload is empty; a null URL has no target header; control characters and spaces
 in URLs are percent-encoded in the header. Rows that repeat id and payload are responses alike.
@@ -168,7 +169,7 @@ def to_chunks(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     large = rows.where(F.col("length") >= min_revisit).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
     again = large.join(first, "digest").where("page_id is null or page_id > refers_to").distinct()
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
+    again = written(again, "revisits").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
     marked = rows.join(again, rows.page_id.eqNullSafe(again.again_id) & (rows.digest == again.again_digest), "left")
     return marked.select("page_id", "url", "html", "length", "digest", "refers_to").mapInPandas(write_chunks(when, chunk), CHUNK_SCHEMA)
 
