@@ -3,13 +3,15 @@
 Native throughout. The canonical form is NFKC (the ICU library that ships with Spark, called by
 SQL's reflect()), lower case, runs of white space as one space, trimmed. Two xxhash64 values over
 it make 128 bits; inside buckets of equal hashes the canonical texts are compared as bytes, and
-where they differ (a collision) the SHA-256 of the text is appended.
+where they differ (a collision) the SHA-256 of the text is appended. An edited text is compared
+as bytes with its own document; a document's collision marks it too.
 
-Being exact, a fingerprint is like another (1.0) or not (0.0).
+Being exact, a fingerprint is like another (1.0) or not (0.0). Each text is canonicalised once
+and written with its hashes; what follows joins narrow rows by id.
 
 Cases: a null text is empty. Rows that repeat an id: each has its own fingerprint; as a "next
-document" the smallest text of the rows with the next larger id counts. A row without an id has
-no next document. The last id is followed by the first.
+document" the smallest start and the smallest fingerprint of the rows with the next larger id
+count. A row without an id has no next document. The last id is followed by the first.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex128, wide_hash
+from .common import hex128, wide_hash, written
 
 #: Ids are grouped by this many of their lower bits on each level of next_ids.
 LEVEL_BITS = 10
+#: White space of Unicode other than the plain space, as characters of a class.
+OTHER_SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85   -     　"
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, white space folded. Plain ASCII texts need no normalisation."""
+    """NFKC, lower case, white space folded. Plain ASCII texts need no normalisation; a single space needs no folding."""
     plain = F.octet_length(text) == F.length(text)
     composed = F.when(plain, text).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
-    return F.btrim(F.regexp_replace(F.lower(composed), r"[\s\x0b\x1c-\x1f\x85   ]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(F.lower(composed), f"[ {OTHER_SPACE}]{{2,}}|[{OTHER_SPACE}]", " "), F.lit(" "))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -38,8 +42,8 @@ def next_ids(ids: DataFrame) -> DataFrame:
     """
 
     def follow(keys: DataFrame, bits: int) -> DataFrame:
-        if bits <= 0:
-            every = Window.partitionBy(F.lit(0)).orderBy("key")
+        if bits <= LEVEL_BITS:
+            every = Window.partitionBy(F.lit(0)).orderBy("key")  # 2**LEVEL_BITS keys at most
             whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return keys.select("key", "first", F.coalesce(F.lead("first").over(every), F.min("first").over(whole)).alias("next"))
         up = keys.withColumn("up", F.shiftright("key", LEVEL_BITS))
@@ -48,68 +52,73 @@ def next_ids(ids: DataFrame) -> DataFrame:
         groups = groups.select(F.col("key").alias("up"), F.col("next").alias("after"))
         return inside.join(groups, "up").select("key", "first", F.coalesce("inside", "after").alias("next"))
 
-    start = ids.select(F.col("id").cast("long").alias("key"), F.col("id").cast("long").alias("first"))
-    return follow(start, 64 - LEVEL_BITS).select(F.col("key").alias("id"), F.col("next").alias("next_id"))
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    bits = (high - low).bit_length() if low is not None else 0
+    key = F.col("id").cast("long")
+    if bits > 62:  # the difference may not fit a long
+        low, bits = 0, 64
+    start = ids.select((key - F.lit(low or 0)).alias("key"), key.alias("first"))
+    return follow(start, bits).select(F.col("first").alias("id"), F.col("next").alias("next_id"))
 
 
 def hashed(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
-    """df with canon, h1 and h2 (prefixed) of the text column."""
-    h1, h2 = wide_hash(F.col(prefix + "canon"))
-    return df.withColumn(prefix + "canon", canonical(F.col(text_col))).withColumns({prefix + "h1": h1, prefix + "h2": h2})
+    """df with canon, h1, h2 and sha (prefixed) of the text column."""
+    canon = F.col(prefix + "canon")
+    h1, h2 = wide_hash(canon)
+    return df.withColumn(prefix + "canon", canonical(F.col(text_col))).withColumns({prefix + "h1": h1, prefix + "h2": h2, prefix + "sha": F.unhex(F.sha2(F.encode(canon, "UTF-8"), 256))})
 
 
-def collisions(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h1, h2) of the buckets that hold different canonical texts.
+def collisions(rows: DataFrame) -> DataFrame:
+    """(h1, h2) of the buckets of rows (h1, h2, canon, a written table) that hold different canonical texts.
 
-    rows: (id, h1, h2) narrow; texts: (id, text). Only texts of buckets with more than one row
-    are compared, each map task sending one pair of them a bucket at most. The texts are joined
-    by id before they are hashed, so that Spark can use a shuffle of texts by id again.
+    Only texts of buckets with more than one row are compared; each map task sends one pair of
+    them a bucket at most.
     """
     shared = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    members = rows.join(shared, ["h1", "h2"], "left_semi").select("id").distinct()
-    ends = hashed(texts.join(members, "id", "left_semi"), "text").groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
-    return ends.where("least != most").select("h1", "h2")
+    members = rows.select("h1", "h2", "canon").join(written(shared, "shared"), ["h1", "h2"], "left_semi")
+    ends = members.groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    return written(ends.where("least != most").select("h1", "h2"), "clashes")
 
 
-def fingerprint_column(prefix: str, clash: str) -> Column:
-    code = hex128(F.col(prefix + "h1"), F.col(prefix + "h2"))
-    return F.when(F.col(clash).isNotNull(), F.concat(code, F.lit("-"), F.sha2(F.encode(F.col(prefix + "canon"), "UTF-8"), 256))).otherwise(code)
-
-
-def with_collisions(df: DataFrame, clashes: DataFrame, prefix: str = "") -> DataFrame:
-    """clashes is broadcast: among 10**10 texts, 128 bits collide with a probability below 10**-18."""
-    named = clashes.select(F.col("h1").alias(prefix + "h1"), F.col("h2").alias(prefix + "h2"), F.lit(True).alias(prefix + "clash"))
-    return df.join(F.broadcast(named), [prefix + "h1", prefix + "h2"], "left")
+def with_fingerprint(df: DataFrame, clashes: DataFrame, out: str, prefix: str = "") -> DataFrame:
+    """df with the fingerprint of the prefixed hashes. Of clashes a few rows at most exist: 10**10 texts have one with a probability below 10**-18."""
+    h1, h2, sha, clash = (prefix + x for x in ("h1", "h2", "sha", "clash"))
+    named = clashes.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.lit(True).alias(clash))
+    code = hex128(F.col(h1), F.col(h2))
+    return df.join(named, [h1, h2], "left").withColumn(out, F.when(F.col(clash), F.concat(code, F.lit("-"), F.lower(F.hex(sha)))).otherwise(code)).drop(h1, h2, sha, clash)
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of each row."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = hashed(base, "text")
-    clashes = collisions(whole.select("id", "h1", "h2"), base.where("id is not null"))
-    return with_collisions(whole, clashes).select(F.col("id").alias(id_col), fingerprint_column("", "clash").alias("fingerprint"))
+    rows = written(hashed(base, "text").drop("text"), "canonical")
+    return with_fingerprint(rows.drop("canon"), collisions(rows), "fingerprint").select(F.col("id").alias(id_col), "fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter is the next one's start."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("n"))
-    pairs = next_ids(sizes.select("id")).join(sizes, "id").select(F.col("id").alias("for_id"), F.col("next_id").alias("id"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    placed = base.where("id is not null")  # one shuffle by id serves the three joins below
-    after = hashed(placed.join(pairs, "id"), "text").select("for_id", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("start"), "h1", "h2").alias("s"))
-    after = after.groupBy("for_id").agg(F.min("s").alias("s")).select(F.col("for_id").alias("id"), F.col("s.start").alias("start"), F.col("s.h1").alias("nh1"), F.col("s.h2").alias("nh2"))
+    placed = base.where("id is not null")  # one shuffle by id serves both joins of texts
+    sizes = written(placed.groupBy("id").agg(F.max(F.length("text")).alias("n")), "sizes")
+    follow = written(next_ids(sizes.select("id")), "next")
+    wanted = follow.join(sizes, "id").select(F.col("id").alias("for_id"), F.col("next_id").alias("id"), F.floor(F.col("n") / 4).cast("int").alias("k"))
+    starts = placed.join(wanted, "id").select("for_id", F.substring("text", F.lit(1), F.col("k")).alias("start"))
+    starts = starts.groupBy(F.col("for_id").alias("id")).agg(F.min("start").alias("start"))
 
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("start", F.lit("")), F.lit(1), quarter))
-    rows = placed.join(after, "id", "left").unionByName(base.where("id is null"), allowMissingColumns=True).withColumns({"n_chars": n.cast("long"), "edited": edited})
+    rows = placed.join(starts, "id", "left").unionByName(base.where("id is null"), allowMissingColumns=True).withColumns({"n_chars": n.cast("long"), "edited": edited})
     rows = hashed(hashed(rows, "text"), "edited", "e")
-    clashes = collisions(hashed(base, "text").select("id", "h1", "h2"), placed)
-    rows = with_collisions(with_collisions(rows, clashes), clashes, "e")
     same = (F.col("h1") == F.col("eh1")) & (F.col("h2") == F.col("eh2")) & (F.col("canon") == F.col("ecanon"))
-    next_same = F.coalesce((F.col("h1") == F.col("nh1")) & (F.col("h2") == F.col("nh2")), F.lit(False))
-    return rows.select(
-        F.col("id").alias(id_col), "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        fingerprint_column("", "clash").alias("fingerprint"), fingerprint_column("e", "eclash").alias("edited_fingerprint"),
-        F.when(same, 1.0).otherwise(0.0).alias("near_edited"), F.when(next_same, 1.0).otherwise(0.0).alias("near_next"),
+    rows = rows.select("id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), same.alias("same"), "canon", "h1", "h2", "sha", "eh1", "eh2", "esha")
+    rows = written(rows, "canonical")
+    clashes = collisions(rows)
+    found = with_fingerprint(with_fingerprint(rows.drop("canon"), clashes, "fingerprint"), clashes, "edited_fingerprint", "e")
+    after = found.where("id is not null").groupBy(F.col("id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    found = found.join(follow.join(after, "next_id").select("id", "next_fingerprint"), "id", "left")
+    near = lambda c: F.when(c, 1.0).otherwise(0.0)
+    return found.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        near(F.col("same")).alias("near_edited"), near(F.col("fingerprint") == F.col("next_fingerprint")).alias("near_next"),
     )
