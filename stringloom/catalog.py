@@ -17,6 +17,7 @@ from stringloom.operators.garbage import is_garbage
 from stringloom.plans.pipeline import Options, extract
 from stringloom.samples import XOR_KEY, make
 from stringloom.shipping import ship
+from stringloom.sources.blobs import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,16 +49,9 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["ioc_rollup"](spark, sf_dir)
 
 
-#: Text tables under so many bytes a core are dealt out, as a file of one row group is one task.
-SMALL = 16 << 20
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL * cores:
-        rows = rows.repartition(cores, rows.columns[0])
-    return rows
+    return spread(rows) if name in ("documents", "pages", "part") else rows  # tables whose rows cost much
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,9 @@ SYSTEM_PATH_PARTS = ("/.cargo/registry/src/", "/lib/rustlib/src/")
 SOURCE_ENDS = (".c", ".cc", ".cpp", ".cxx", ".go", ".h", ".hh", ".hpp", ".java", ".m", ".mm", ".rs", ".swift")
 BUILD_ENDS = (*SOURCE_ENDS, ".js", ".py", ".ts")
 BUILD_TREES = ("/src/", "/include/", "/node_modules/", "/vendor/", "/go/pkg/mod/", "/rustc/")
+
+# Kinds that a string behind a file's own end keeps; the others become Overlay or OverlayWide.
+OVERLAY_KEPT = (
+    "Base32", "Base58", "Base64", "Base85", "CryptoWallet", "MiningPool", "IP", "IPPort", "Hostname", "Url", "Email", "TorAddress", "ShellCmd", "SuspiciousPath",
+    "XorKey", "HexEncoded", "APIKey", "JWT", "CTFFlag",
+)

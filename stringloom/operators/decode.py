@@ -36,8 +36,10 @@ def _python(f):
 
 
 def as_text(data: Column) -> Column:
-    """Bytes as text natively where they are plain ASCII, else by the full rule."""
-    return _as_text(data)
+    """Bytes as text: plain ASCII without control characters natively, else by the full rule."""
+    latin = F.decode(data, "ISO-8859-1")
+    plain = latin.rlike(r"^[ -~]*[!-~]{4}[ -~]*$") & ~latin.rlike("^ | $")
+    return F.when(plain, latin).otherwise(_as_text(F.when(~plain, data)))
 
 
 def quality(value: Column) -> Column:
@@ -94,8 +96,9 @@ def embedded_base64_rows(rows: DataFrame) -> DataFrame:
     plain = F.octet_length(F.rtrim(F.col("token"), F.lit("=")))
     ok = (F.col("token") != F.col("value")) & (F.length("token") % 4 == 0) & ((plain >= 12) | F.col("token").endswith("=") | asked)
     decoded = found.where(ok).withColumn("__data", F.unbase64("token")).where(F.regexp_replace(F.base64("__data"), "[\r\n]", "") == F.col("token"))
-    offset = F.col("data_offset") + F.expr("octet_length(substring_index(value, token, 1))")
-    decoded = decoded.withColumn("data_offset", offset.cast("long"))
+    between = F.slice(F.split("value", pattern, -1), F.lit(1), F.col("__n") + 1)
+    before = F.octet_length(F.concat(F.array_join(between, ""), F.array_join(F.slice("__m", F.lit(1), F.col("__n")), "")))
+    decoded = decoded.withColumn("data_offset", (F.col("data_offset") + before).cast("long"))
     return _done(decoded, as_text(F.col("__data")), "Base64Decode", F.length("token")).drop("__m", "__n", "token", "__data")
 
 

@@ -7,6 +7,7 @@ are DataFrame operations.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache, reduce
 
@@ -21,9 +22,17 @@ from stringloom.functions.keys import candidate_sql, score_sql
 
 KEY = "blob_id"
 FINDS = "blob_id string, value string, data_offset long, data_len int, method string, key binary"
-# Plaintexts that a scan looks for, the key that is a mere case flip, and limits.
-ANCHORS = (b"http://", b"https://", b"/bin/", b"/tmp/", b"/etc/", b"C:\\", b"cmd.exe", b"powershell", b"Mozilla/", b"HKEY_", b"SOFTWARE\\", b"password", b"GET /", b"POST /")
-SKIP_KEY, MIN_LENGTH, SCAN_LIMIT, REACH = 0x20, 10, 5 << 20, 200
+# Plaintexts that the one-byte and the incremental search look for.
+ANCHORS = (b"://", b"/bin", b"/proc", b"C:\\", b"Mozilla", b".exe", b".dll", b"passw", b"Library", b"Ethereum", b" %s ", b"ld.so", b"BCrypt", b"CreateProcess")
+# Plaintexts that the search for short rolling keys looks for.
+ROLLING_ANCHORS = (
+    b"%USERPROFILE%", b"%APPDATA%", b"%LOCALAPPDATA%", b"%TEMP%", b"%PROGRAMDATA%", b"%SYSTEMROOT%", b"%HOMEDRIVE%", b"%HOMEPATH%",
+    b"HKEY_LOCAL_MACHINE", b"HKEY_CURRENT_USER", b"HKEY_CLASSES_ROOT", b"SOFTWARE\\", b"\\Microsoft\\",
+)
+# The key that is a mere case flip, and limits; an incremental key's anchors have LONG bytes.
+SKIP_KEY, MIN_LENGTH, SCAN_LIMIT, REACH, LONG = 0x20, 10, 5 << 20, 200, 4
+#: Rows that a task gathers from many small blobs before it gives them on.
+ROWS_A_BATCH = 1 << 13
 PRINTABLE = np.zeros(256, bool)
 PRINTABLE[list(range(0x20, 0x7F)) + [9]] = True
 
@@ -46,7 +55,7 @@ def _automaton(growing: bool, wide: bool = False):
     """All anchors under all one-byte keys; growing: under keys that grow by one a byte, by their first value; wide: as UTF-16LE."""
     words: dict[str, list[tuple[int, int]]] = {}
     for key in range(256):
-        for a in ANCHORS:
+        for a in (x for x in ANCHORS if len(x) >= LONG or not growing):
             a = a.decode().encode("utf-16-le") if wide else a
             word = bytes(b ^ ((key + j * growing) & 255) for j, b in enumerate(a)).decode("latin-1")
             words.setdefault(word, []).append((key, len(a)))
@@ -74,13 +83,19 @@ def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
         plain = (raw[low:high] ^ np.uint8(key)).tobytes()
         s, e = _run_around(plain, at - low, size)
         value = plain[s:e].decode("ascii").strip()
-        if len(value) >= MIN_LENGTH and (key, low + s) not in seen:
+        if len(value) >= MIN_LENGTH and (key, low + s) not in seen and varied(value):
             seen.add((key, low + s))
             yield value, low + s, e - s, bytes([key])
     if data[:2] == b"MZ":
         yield from _wide_finds(data)
 
 
+def varied(value: str) -> bool:
+    """Text rather than padding under a key: more than a quarter of the characters differ, or eight do."""
+    distinct = len(set(value))
+    return distinct >= 8 or distinct * 4 > len(value)
+
+
 def _wide_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
     """UTF-16LE runs of printable ASCII around a wide anchor, whole; lengths are in bytes of the blob."""
     ends: dict[tuple[int, int], int] = {}  # (key, parity) -> end of the last run
@@ -128,34 +143,38 @@ def keyed_finds(data: bytes, key: bytes, min_length: int = MIN_LENGTH) -> Iterat
                 letters = sum(c.isalnum() or c in " /._-:" for c in value)
                 if letters * 10 >= len(value) * 8 and not _echo(value, key):
                     found.append((e - s, s, value))
-    taken: list[tuple[int, int]] = []
+    starts, ends = [], []  # of the finds taken, in order; they don't overlap
     for n, s, value in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-        if all(s + n <= a or s >= b for a, b in taken):
-            taken.append((s, s + n))
-            yield value, s, n, key
+        at = bisect_right(starts, s)
+        if (at and ends[at - 1] > s) or (at < len(starts) and starts[at] < s + n):
+            continue
+        starts.insert(at, s)
+        ends.insert(at, s + n)
+        yield value, s, n, key
 
 
 def rolling_finds(data: bytes, most: int = 4) -> Iterator[tuple[str, int, int, bytes]]:
-    """Keys of one to four bytes that an anchor and a second one nearby agree on."""
+    """Keys of one to four bytes that an anchor and a different one nearby agree on."""
     if not data or len(data) > SCAN_LIMIT:
         return
     raw, found = np.frombuffer(data, np.uint8), {}
-    for anchor in ANCHORS:
+    for anchor in ROLLING_ANCHORS:
         a = np.frombuffer(anchor, np.uint8)
         if len(data) < len(a):
             continue
         stream = np.lib.stride_tricks.sliding_window_view(raw, len(a)) ^ a
-        for n in range(2, min(most, len(a) - 1) + 1):
-            periodic = (stream[:, n:] == stream[:, :-n]).all(axis=1) & (stream[:, :n] != stream[:, :1]).any(axis=1)
+        for n in range(1, most + 1):
+            periodic = (stream[:, n:] == stream[:, :-n]).all(axis=1)
+            periodic &= (stream[:, :n] != stream[:, :1]).any(axis=1) if n > 1 else stream[:, 0] != 0
             for at in np.flatnonzero(periodic).tolist():
                 if len(set(data[at : at + len(a)])) < 4:
                     continue  # constant data under a key made of the anchor itself
                 key = np.roll(stream[at, :n], at % n).tobytes()
-                found.setdefault(key, []).append(at)
+                found.setdefault(key, []).append((at, anchor))
     for key, places in sorted(found.items()):
         places.sort()
-        if any(b - a <= 2048 for a, b in zip(places, places[1:], strict=False)):
-            low, high = max(0, places[0] - 4096), min(len(data), places[-1] + 4096)
+        if any(y[0] - x[0] <= 2048 and x[1] != y[1] for x, y in zip(places, places[1:], strict=False)):
+            low, high = max(0, places[0][0] - 4096), min(len(data), places[-1][0] + 4096)
             low -= low % len(key)
             for value, s, n, _ in keyed_finds(data[low:high], key):
                 yield value, low + s, n, key
@@ -220,11 +239,19 @@ def scan(blobs: DataFrame, finder, content: str = "content") -> DataFrame:
     """Finds of a scanner over (blob_id, content) rows."""
     fields = pa.schema([("blob_id", pa.string()), ("value", pa.string()), ("data_offset", pa.int64()), ("data_len", pa.int32()), ("method", pa.string()), ("key", pa.binary())])
 
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for blob, data in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [(blob.as_py(), v, at, n, "XorDecode", key) for v, at, n, key in finder(data.as_py() or b"")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
+                for v, at, n, key in finder(data.as_py() or b""):
+                    rows.append((blob.as_py(), v, at, n, "XorDecode", key))
+                    if len(rows) >= ROWS_A_BATCH:
+                        yield given(rows)
+                        rows = []
+            yield given(rows)
 
     return blobs.select(F.col(KEY).cast("string"), F.col(content)).mapInArrow(run, FINDS)
 
@@ -296,6 +323,22 @@ def own_key_finds(blobs: DataFrame, rows: DataFrame, with_kind, min_length: int
     return kept.unionByName(at)
 
 
+def clean_tail(value: Column, kind: Column) -> Column:
+    """A find without what the key makes of the bytes behind it: the tail of URLs, lists of locales and words.
+
+    A URL ends after its numeric host and port, or after its last character that URLs use; a list of
+    locales after its last separator; other text before its first four consonants in a row, if ten
+    characters or more stand before them.
+    """
+    numeric = F.regexp_extract(value, r"^(.*?://[0-9]+(?:\.[0-9]+){3}(?::[0-9]+)?)", 1)
+    named = F.regexp_extract(value, r"^(.*?://.*[A-Za-z0-9/._?=&%#+-])", 1)
+    url = F.when(value.rlike(r"://[0-9]") & (numeric != ""), numeric).when(~value.rlike(r"://[0-9]") & (named != ""), named).otherwise(value)
+    locales = F.when(value.rlike("[;,]"), F.regexp_extract(value, r"^(.*[;,])", 1)).otherwise(value)
+    words = F.regexp_extract(value, r"^(.{10,}?)(?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{4})", 1)
+    listed = value.rlike(r"[a-z]{2,3}[_-][A-Z]{2,3}[;,][a-z]{2,3}[_-][A-Z]{2,3}[;,]")
+    return F.when(value.contains("://"), url).when(listed, locales).when(kind.isNull() & (F.length(words) >= 10) & (F.length(value) >= 8) & ~value.rlike("(?i)^.{0,9}[b-df-hj-np-tv-z]{4}"), words).otherwise(value)
+
+
 def parse_key(text: str) -> bytes:
     """0x… or bare hex of even length as bytes, anything else literally."""
     body = text[2:] if text[:2] in ("0x", "0X") else text

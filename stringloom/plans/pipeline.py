@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stringloom.functions import lexicon as L
 from stringloom.operators import binary, decode, garbage, iocs, kinds, ranges, script, text, xor
 from stringloom.scratch import written
 from stringloom.shipping import ship
-from stringloom.sources.blobs import bom_text, is_text
+from stringloom.sources.blobs import bom_text, is_text, searchable
 
 COLUMNS = ["blob_id", "value", "data_offset", "data_len", "method", "kind"]
 
@@ -43,7 +44,8 @@ def extract(blobs: DataFrame, options: Options | None = None) -> DataFrame:
     lines = text_strings(wide.where(F.col("__text") | F.col("__bom").isNotNull()).select(F.col("blob_id").cast("string").alias("blob_id"), F.coalesce("__bom", F.decode(F.col("content"), "UTF-8")).alias("text")), o)
     found = binary.extract_blobs(wide.where(~F.col("__text") & F.col("__bom").isNull()), o.min_length)
     rows = kinds.with_kind(lines.withColumn("kind", F.lit(None).cast("string")).unionByName(found).withColumnRenamed("kind", "known"))
-    rows = rows.withColumn("kind", F.coalesce("known", "kind")).drop("known").select(*COLUMNS)
+    overlay = F.col("known").isin("Overlay", "OverlayWide") & F.col("kind").isin(*L.OVERLAY_KEPT)  # telling kinds stay in overlays
+    rows = rows.withColumn("kind", F.when(overlay, F.col("kind")).otherwise(F.coalesce("known", "kind"))).drop("known").select(*COLUMNS)
     magic = F.hex(F.substring("content", 1, 4)).isin("CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "CAFEBABE")
     signed = binary.catalogue(blobs.where(magic)).where("what = 'segment' AND name = '__LINKEDIT'")
     rows = written(ranges.relabel_signatures(rows, signed), "strings")
@@ -75,10 +77,13 @@ def _xor(blobs: DataFrame, o: Options) -> DataFrame:
     if o.xor_key:
         finds = xor.with_key(blobs, o.xor_key, o.min_length)
     else:
+        blobs = blobs.where(searchable(F.col("content")))
         first = written(xor.single_byte(blobs), "xor")
-        finds = first.unionByName(xor.with_own_keys(blobs, xor.repeated_keys(first))).unionByName(xor.scan(blobs, xor.rolling_finds)).unionByName(xor.scan(blobs, xor.incremental_finds)).unionByName(xor.scan(blobs, xor.dotted_finds))
+        windows = blobs.where(F.hex(F.substring("content", 1, 2)) == "4D5A")  # rolling keys are sought in PE blobs
+        finds = first.unionByName(xor.with_own_keys(blobs, xor.repeated_keys(first))).unionByName(xor.scan(windows, xor.rolling_finds)).unionByName(xor.scan(blobs, xor.incremental_finds)).unionByName(xor.scan(blobs, xor.dotted_finds))
     named = kinds.with_kind(finds.drop("key").dropDuplicates(["blob_id", "data_offset", "value"]))
     if not o.xor_key:
+        named = named.withColumn("value", xor.clean_tail(F.col("value"), F.col("kind"))).withColumn("data_len", F.least("data_len", F.octet_length("value")))
         named = named.withColumn("__t", F.trim("value")).where(F.col("kind").isNotNull() | (~garbage.is_garbage() & F.col("__t").rlike(r"[a-z]{3,}[ /._-][a-z]{2,}"))).drop("__t")
     rank = F.when(kinds.severity(F.col("kind")) == "High", 0).when(F.col("kind").isNotNull(), 1).otherwise(2)
     return ranges.resolve_overlaps(named.withColumn("rank", rank)).drop("rank")

@@ -17,6 +17,15 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.load(path).select(F.col("path").alias("blob_id"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A file scan with fewer partitions than cores, dealt out: a file of one row group is else one task.
+
+    A large table has more partitions than cores and isn't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def text_blobs(rows: DataFrame, key: Column, text: Column) -> DataFrame:
     """Rows of a text table as blobs (blob_id, text)."""
     return rows.select(key.cast("string").alias("blob_id"), text.alias("text"))
@@ -54,6 +63,11 @@ def platform_signed(content: Column) -> Column:
     return out
 
 
+def searchable(content: Column) -> Column:
+    """Blobs that an XOR search is for: neither text nor signed by a platform's vendor."""
+    return ~is_text(content) & bom_text(content).isNull() & ~platform_signed(content)
+
+
 def describe(blobs: DataFrame) -> DataFrame:
     """The header line of each blob: format, size and SHA-256."""
     mark = F.hex(F.substring("content", 1, 4))

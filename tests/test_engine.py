@@ -160,9 +160,12 @@ def test_xor_scanners():
     key = b"K3y!"
     rolled = b"\x90" * 64 + samples.masked(plain, key) + b"\xcc" * 30
     assert list(xor.keyed_finds(rolled, key))[0][:2] == (plain.decode(), 64)
-    assert (plain.decode(), 64) in [x[:2] for x in xor.rolling_finds(rolled)]
-    growing = bytes(b ^ ((i + 7) & 255) for i, b in enumerate(bytes(30) + b"load http://evil.example.com/x" + bytes(30)))
-    assert ("load http://evil.example.com/x", 30, 30, b"\x07") in list(xor.incremental_finds(growing))
+    settings = rb"copy %APPDATA%\tool to HKEY_CURRENT_USER\SOFTWARE\Run and start"
+    hidden = bytes(64) + samples.masked(settings, key) + bytes(50)
+    assert (settings.decode(), 64) in [x[:2] for x in xor.rolling_finds(hidden)]
+    assert list(xor.rolling_finds(bytes(64) + samples.masked(b"only %APPDATA%\\tool here and nothing more", key) + bytes(50))) == []
+    growing = bytes(b ^ ((i + 7) & 255) for i, b in enumerate(bytes(30) + b"load http://evil.example.com/bin" + bytes(30)))
+    assert ("load http://evil.example.com/bin", 30, 32, b"\x07") in list(xor.incremental_finds(growing))
     dotted = bytes(40) + samples.masked(b"\x01\x02 45.33.32.156:8443 and evil-host.com\x01", b"\xa7") + bytes(40)
     assert {(x[0], x[3]) for x in xor.dotted_finds(dotted)} >= {("45.33.32.156:8443", b"\xa7"), ("evil-host.com", b"\xa7")}
     wide = samples.masked("visit http://evil.example.com/wide".encode("utf-16-le"), b"\x5a")
@@ -243,6 +246,23 @@ def test_containers_and_extractors(spark):
     assert [(r[0], r[1]) for r in raw] == [("spaced out", 3), ("tail text", 17)]
 
 
+def test_embedded_base64_offsets_and_foreign_scripts(spark):
+    token = base64.b64encode(b"uname -a").decode()
+    rows = strings(spark, [f"cfg={token} and again={token}", f"{'A' * 8}{token} x"])
+    got = sorted((r.value, r.data_offset) for r in decode.embedded_base64_rows(rows).collect())
+    assert got[:2] == [("uname -a", 4), ("uname -a", 4 + len(token) + len(" and again="))]
+    assert len(got) <= 3
+    assert [x[0] for x in binary.wide_strings("Привет, мир".encode("utf-16-le"))] == ["Привет, мир"]
+    assert list(binary.wide_strings(b"a b c d e f g h ")) == []
+
+
+def test_overlays_keep_telling_kinds(spark):
+    tail = b"\0" * 4 + b"http://evil.example.com/x\0" + b"an ordinary line behind it\0" + bytes(16)
+    blobs = spark.createDataFrame([("o", samples.MAKERS["overlay"](b"first text").replace(b"first text", b"first text" + tail))], "blob_id string, content binary")
+    got = {r.value: r.kind for r in extract(blobs).collect()}
+    assert (got["http://evil.example.com/x"], got["an ordinary line behind it"]) == ("Url", "Overlay")
+
+
 def test_pipeline_and_incremental(spark, tmp_path):
     hidden = bytes(100) + samples.masked(b"\0\0get http://evil.example.com/x now\0\0", b"\x5a") + bytes(40)
     rows = [("elf", samples.with_pointer(b"/usr/share/thing.dat")), ("txt", b"first line here\nhttp://a.example.com:8080/p"), ("bom", "\ufeffwide text line".encode("utf-16-le")), ("xor", hidden), ("none", None), ("empty", b"")]
