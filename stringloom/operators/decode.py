@@ -60,6 +60,8 @@ def _done(rows: DataFrame, decoded: Column, method: str, data_len: Column, chang
     out = rows.withColumn("__new", decoded).where(F.col("__new").isNotNull() & (F.octet_length(trimmed(F.col("__new"))) >= LEAST))
     if changed:
         out = out.where(F.col("__new") != F.col("value"))
+    if "fragments" in rows.columns:
+        out = out.withColumn("fragments", F.lit(None).cast(out.schema["fragments"].dataType))
     return out.withColumns({"data_len": data_len.cast("int"), "value": F.col("__new"), "method": F.lit(method), "kind": F.lit(None).cast("string")}).drop("__new")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +48,8 @@ def canonical_ipv6(s: str) -> str | None:
     return str(ip)
 
 
+LABEL = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
+
 # --- hostnames ----------------------------------------------------------------------------
 
 
@@ -104,6 +107,18 @@ def registrable(host: str, suffixes: dict[str, str]) -> bool:
     return 0 < best < len(labels)
 
 
+def registered(host: str, suffixes: dict[str, str]) -> str | None:
+    """A registrable host, in its ASCII form (IDNA), else null."""
+    if not host.isascii():
+        try:
+            host = host.encode("idna").decode().lower()
+        except UnicodeError:
+            return None
+        if not 0 < len(host) <= 253 or not re.fullmatch(rf"{LABEL}(\.{LABEL})+", host):
+            return None
+    return host if registrable(host, suffixes) else None
+
+
 def _network(spark: SparkSession):
     """Canonical IPv6 address or registrable host name, else null; a null costs nothing."""
     shared = shared_suffixes(spark)
@@ -115,16 +130,13 @@ def _network(spark: SparkSession):
         for i in v.index[v.notna()]:
             x = v[i]
             if x not in known:
-                known[x] = canonical_ipv6(x) if ":" in x else (x if registrable(x, suffixes) else None)
+                known[x] = canonical_ipv6(x) if ":" in x else registered(x, suffixes)
             out[i] = known[x]
         return out
 
     return run.asNondeterministic()  # else the filter on its result makes Spark run it twice
 
 
-LABEL = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
-
-
 def hostname_shape(d: Dialect, c: str) -> str:
     """Two labels or more of letters, digits and inner hyphens, 253 bytes at most."""
     return both(f"{d.size(c)} BETWEEN 1 AND 253", d.match(c, rf"^{LABEL}(\.{LABEL})+$"))
@@ -155,46 +167,53 @@ def ioc_path(d: Dialect, c: str) -> str:
 # --- matching -----------------------------------------------------------------------------
 
 AUTHORITY = r"[A-Za-z][A-Za-z0-9+.-]*://([^ \t\n\x0b\f\r/?#\"'<>]*)"
+FOUND = "struct<k:string,a:string,bare:boolean,at:int>"
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """(...row, ioc_kind, ioc_value, port) for what each row points at, in one pass.
+    """(...row, ioc_kind, ioc_value, port, value_at, value_len) for what each row points at, in one pass.
 
     Key rows give keys, path rows paths and nothing else; all other rows give the authorities of
-    their URLs, and the value itself where it is an endpoint or typed as address or host.
+    their URLs, and the value itself where it is an endpoint or typed as address or host. value_at
+    and value_len are the bytes of the row's value that name the indicator.
     """
-    kind = F.coalesce(F.col("kind"), F.lit(""))
+    kind, value = F.coalesce(F.col("kind"), F.lit("")), F.col("value")
     is_path = kind.isin("Path", "SuspiciousPath") & (F.col("method") != "PclntabSymbol")
-    drive = F.when(F.col("value").rlike(r"^[A-Za-z]:"), F.concat(F.upper(F.substring("value", 1, 1)), F.expr("substr(value, 2)"))).otherwise(F.col("value"))
-    find = lambda k, a, bare: F.struct(F.lit(k).alias("k"), a.alias("a"), F.lit(bare).alias("bare"))
-    none = F.array().cast("array<struct<k:string,a:string,bare:boolean>>")
-    whole = F.when(kind.isin("IP", "IPPort", "Hostname") | F.col("value").rlike(r"^[^ /]+:[0-9]{1,5}$"), F.array(find("net", F.col("value"), True))).otherwise(none)
-    urls = F.when(F.col("value").contains("://"), F.transform(F.regexp_extract_all("value", F.lit(AUTHORITY), 1), lambda a: find("net", a, False))).otherwise(none)
+    drive = F.when(value.rlike(r"^[A-Za-z]:"), F.concat(F.upper(F.substring("value", 1, 1)), F.expr("substr(value, 2)"))).otherwise(value)
+    find = lambda k, a, bare, at: F.struct(F.lit(k).alias("k"), a.alias("a"), F.lit(bare).alias("bare"), at.cast("int").alias("at"))
+    none = F.array().cast(f"array<{FOUND}>")
+    whole = F.when(kind.isin("IP", "IPPort", "Hostname") | value.rlike(r"^[^ /]+:[0-9]{1,5}$"), F.array(find("net", value, True, F.lit(0)))).otherwise(none)
+    between, urls = F.split(value, AUTHORITY, -1), F.regexp_extract_all(value, F.lit(AUTHORITY), 0)
+    before = lambda i: F.octet_length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.octet_length(F.array_join(F.slice(urls, F.lit(1), i), ""))
+    parts = F.transform(urls, lambda u, i: find("net", F.regexp_extract(u, AUTHORITY, 1), False, before(i) + F.locate("://", u) + 2))
+    urls = F.when(value.contains("://"), parts).otherwise(none)
     finds = (
-        F.when((kind == "XorKey") & (F.octet_length("value") <= 4096), F.array(find("key", key_text(F.col("value"), F.col("method")), False)))
-        .when(is_path & F.expr(ioc_path(SPARK, "value")), F.array(find("path", drive, False)))
+        F.when((kind == "XorKey") & (F.octet_length("value") <= 4096), F.array(find("key", key_text(value, F.col("method")), False, F.lit(0))))
+        .when(is_path & F.expr(ioc_path(SPARK, "value")), F.array(find("path", drive, False, F.lit(0))))
         .when((kind != "XorKey") & ~is_path, F.concat(urls, whole))
         .otherwise(none)
     )
     found = rows.where(F.col("method") != "CodeSignature").select("*", F.explode(finds).alias("__x"))
-    found = found.select("*", F.col("__x.k").alias("__k"), F.col("__x.bare").alias("__bare"), F.when(F.col("__x.k") == "net", F.regexp_replace("__x.a", "^.*@", "")).otherwise(F.col("__x.a")).alias("__a")).drop("__x")
+    user = F.when(F.col("__x.k") == "net", F.regexp_extract("__x.a", "^(.*@)", 1)).otherwise(F.lit(""))
+    found = found.select("*", F.col("__x.k").alias("__k"), F.col("__x.bare").alias("__bare"), (F.col("__x.at") + F.octet_length(user)).alias("__at"), F.expr("substr(__x.a, length({}) + 1)".format("CASE WHEN __x.k = 'net' THEN regexp_extract(__x.a, '^(.*@)', 1) ELSE '' END")).alias("__a")).drop("__x")
     v6, port6 = F.regexp_extract("__a", r"^\[([0-9A-Fa-f:.]+)\](?::([0-9]+))?$", 1), F.regexp_extract("__a", r"^\[[0-9A-Fa-f:.]+\](?::([0-9]+))?$", 1)
     bare6 = F.col("__a").rlike("^[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f.]*$")
     host = F.when(v6 != "", v6).when(bare6, F.col("__a")).otherwise(F.regexp_extract("__a", r"^([^:]*)(?::([0-9]+))?$", 1))
     port = F.when(v6 != "", port6).when(bare6, F.lit("")).otherwise(F.regexp_extract("__a", r"^[^:]*:([0-9]+)$", 1))
     net = F.col("__k") == "net"
+    found = found.withColumns({"value_at": F.col("__at") + F.when(net & (v6 != ""), 1).otherwise(0), "value_len": F.when(net, F.octet_length(host)).otherwise(F.octet_length("value"))})
     found = found.withColumns({"__host": F.when(net, F.regexp_replace(F.lower(host), r"\.$", "")), "__port": F.when(net, port)})
     found = found.withColumn("port", F.expr("try_cast(nullif(__port, '') AS INT)")).where(~net | ((F.col("__host") != "") & ((F.col("__port") == "") | F.col("port").between(1, 65535))))
     found = found.withColumn("__v4", net & F.expr(external_ipv4(SPARK, "__host", "(__bare AND port IS NULL)")))
     is_v6 = F.col("__host").contains(":")
-    named = F.expr(hostname_shape(SPARK, "__host")) & ~F.col("__host").rlike(r"^[0-9.]+$") & ~(F.col("method").isin(*L.METADATA_METHODS) & metadata_host(F.col("__host")))
+    named = (F.expr(hostname_shape(SPARK, "__host")) | ~F.col("__host").rlike(r"^[\x00-\x7f]*$")) & ~F.col("__host").rlike(r"^[0-9.]+$") & ~(F.col("method").isin(*L.METADATA_METHODS) & metadata_host(F.col("__host")))
     ask = _network(rows.sparkSession)(F.when(net & ~F.col("__v4") & (is_v6 | named), F.col("__host")))
     found = found.withColumn("__net", ask)
     found = found.withColumns({
         "ioc_kind": F.when(~net, F.col("__k")).when(F.col("__v4") | F.col("__net").contains(":"), F.lit("ip")).otherwise(F.lit("hostname")),
         "ioc_value": F.when(~net, F.col("__a")).when(F.col("__v4"), F.col("__host")).otherwise(F.col("__net")),
     })
-    return found.where(F.col("ioc_value").isNotNull()).select(*rows.columns, "ioc_kind", "ioc_value", "port")
+    return found.where(F.col("ioc_value").isNotNull()).select(*rows.columns, "ioc_kind", "ioc_value", "port", "value_at", "value_len")
 
 
 def metadata_host(host: Column) -> Column:
@@ -208,23 +227,39 @@ def key_text(value: Column, method: Column) -> Column:
     return F.concat(F.lit("base64url:"), F.translate(F.regexp_replace(F.base64(data), "[=\r\n]", ""), "+/", "-_"))
 
 
+def key_bytes(value: Column) -> Column:
+    """The bytes of a canonical key indicator; null for padding, another alphabet or stray trailing bits."""
+    body = F.substring(value, 11, 1 << 20)
+    padded = F.concat(F.translate(body, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
+    data = F.when(value.rlike("^base64url:[A-Za-z0-9_-]+$") & (F.pmod(F.length(body), F.lit(4)) != 1), F.unbase64(padded))
+    return F.when(key_text(data, F.lit("")) == value, data)
+
+
 def rollup(found: DataFrame) -> DataFrame:
-    """(kind, value, ports, count, occurrences): all occurrences counted, the first EVIDENCE kept.
+    """(kind, value, ports, key, count, occurrences): all occurrences counted, the first EVIDENCE kept.
 
+    An occurrence has the source's byte spans (a value built from several places has several), the
+    span of the indicator in the value, port and method. key names a key's algorithms and size.
     First counts map-side; the evidence is cut by rank before it is gathered, so that a value that
     a third of all rows hold costs no task more than EVIDENCE rows a partition.
     """
-    ranked = found.withColumn("part", F.pmod(F.xxhash64(KEY), F.lit(64)))
+    spans = "array<struct<offset:bigint,length:int>>"
+    extent = F.when(F.col("data_len") > 0, F.col("data_len")).otherwise(F.octet_length("value"))
+    own = F.array(F.struct(F.col("data_offset").alias("offset"), extent.cast("int").alias("length"))).cast(spans)
+    pieces = F.coalesce(F.col("fragments").cast(spans), own) if "fragments" in found.columns else own
+    ranked = found.withColumns({"part": F.pmod(F.xxhash64(KEY), F.lit(64)), "__spans": pieces})
     order = ["blob_id", "data_offset", "value"]
     local = Window.partitionBy("ioc_kind", "ioc_value", "part").orderBy(order)
     first = ranked.withColumn("r", F.row_number().over(local)).where(F.col("r") <= EVIDENCE)
     final = Window.partitionBy("ioc_kind", "ioc_value").orderBy(order)
     first = first.withColumn("r", F.row_number().over(final)).where(F.col("r") <= EVIDENCE)
-    seen = F.struct("r", KEY, "data_offset", F.when(F.col("data_len") > 0, F.col("data_len")).otherwise(F.octet_length("value")).alias("length"), "port", "method")
+    at = [F.col(c) if c in found.columns else F.lit(None).cast("int").alias(c) for c in ("value_at", "value_len")]
+    seen = F.struct("r", KEY, F.col("__spans").alias("source_spans"), F.struct(at[0].alias("offset"), at[1].alias("length")).alias("value_span"), "port", "method")
     seen = first.groupBy("ioc_kind", "ioc_value").agg(F.sort_array(F.collect_list(seen)).alias("occurrences"))
     counts = found.groupBy("ioc_kind", "ioc_value").agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_set("port")).alias("ports"))
-    out = counts.join(seen, ["ioc_kind", "ioc_value"])
-    return out.select(F.col("ioc_kind").alias("kind"), F.col("ioc_value").alias("value"), "ports", "count", "occurrences")
+    out = counts.join(seen, ["ioc_kind", "ioc_value"]).withColumnsRenamed({"ioc_kind": "kind", "ioc_value": "value"})
+    key = F.when(F.col("kind") == "key", F.struct(F.array(F.lit("xor")).alias("algorithms"), F.octet_length(key_bytes(F.col("value"))).alias("bytes")))
+    return out.select("kind", "value", "ports", key.alias("key"), "count", "occurrences")
 
 
 def extract_iocs(rows: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from stringloom.functions.dialect import SPARK
 from stringloom.functions.keys import candidate_sql, score_sql
 
+from .binary import outside_code
+
 KEY = "blob_id"
 FINDS = "blob_id string, value string, data_offset long, data_len int, method string, key binary"
 # Plaintexts that the one-byte and the incremental search look for.
@@ -71,7 +73,7 @@ def _hits(data: bytes, growing: bool, wide: bool = False) -> list[tuple[int, int
     return sorted((key, end + 1 - size, size) for end, keys in _automaton(growing, wide).iter(data.decode("latin-1")) for key, size in keys)
 
 
-def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+def single_byte_finds(data: bytes, wide: bool | None = None) -> Iterator[tuple[str, int, int, bytes]]:
     """Printable runs around an anchor, for each key but 0 and the case flip; in PE blobs also UTF-16LE runs."""
     if not data or len(data) > SCAN_LIMIT:
         return
@@ -86,7 +88,7 @@ def single_byte_finds(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
         if len(value) >= MIN_LENGTH and (key, low + s) not in seen and varied(value):
             seen.add((key, low + s))
             yield value, low + s, e - s, bytes([key])
-    if data[:2] == b"MZ":
+    if data[:2] == b"MZ" if wide is None else wide:
         yield from _wide_finds(data)
 
 
@@ -256,8 +258,35 @@ def scan(blobs: DataFrame, finder, content: str = "content") -> DataFrame:
     return blobs.select(F.col(KEY).cast("string"), F.col(content)).mapInArrow(run, FINDS)
 
 
+def without_code(finder):
+    """The finder over what a blob has outside of executable sections."""
+
+    def run(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+        for start, piece in outside_code(data) if 0 < len(data) <= SCAN_LIMIT else ():
+            for value, at, n, key in finder(piece):
+                yield value, start + at, n, key
+
+    return run
+
+
 def single_byte(blobs: DataFrame) -> DataFrame:
-    return scan(blobs, single_byte_finds)
+    return scan(blobs, single_byte_in)
+
+
+def single_byte_in(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
+    return without_code(lambda piece: single_byte_finds(piece, data[:2] == b"MZ"))(data)
+
+
+def rolling(blobs: DataFrame) -> DataFrame:
+    return scan(blobs, without_code(rolling_finds))
+
+
+def incremental(blobs: DataFrame) -> DataFrame:
+    return scan(blobs, without_code(incremental_finds))
+
+
+def dotted(blobs: DataFrame) -> DataFrame:
+    return scan(blobs, without_code(dotted_finds))
 
 
 def repeated_keys(finds: DataFrame, least: int = 2) -> DataFrame:

@@ -13,7 +13,8 @@ from stringloom.scratch import written
 from stringloom.shipping import ship
 from stringloom.sources.blobs import bom_text, is_text, searchable
 
-COLUMNS = ["blob_id", "value", "data_offset", "data_len", "method", "kind"]
+COLUMNS = ["blob_id", "value", "data_offset", "data_len", "method", "kind", "fragments"]
+SPANS = "array<struct<offset:bigint,length:int>>"
 
 
 @dataclass(frozen=True)
@@ -28,10 +29,15 @@ class Options:
 
 def text_strings(blobs: DataFrame, o: Options) -> DataFrame:
     """Rows of text blobs (blob_id, text) by line."""
-    rows = text.line_rows(blobs, min_length=o.min_length).withColumn("fragments", F.lit(None).cast("array<struct<offset:bigint,length:int>>"))
+    rows = text.line_rows(blobs, min_length=o.min_length).withColumn("fragments", F.lit(None).cast(SPANS))
     return rows
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Rows of values that stand in one piece."""
+    return rows.withColumn("fragments", F.lit(None).cast(SPANS)).select(*COLUMNS)
+
+
 def extract(blobs: DataFrame, options: Options | None = None) -> DataFrame:
     """String rows of blobs (blob_id, content): extracted, classified, decoded, filtered, one an offset.
 
@@ -53,15 +59,15 @@ def extract(blobs: DataFrame, options: Options | None = None) -> DataFrame:
         finds = _xor(blobs, o)
         if not o.xor_key:
             finds = finds.unionByName(xor.own_key_finds(blobs, rows, kinds.with_kind, o.min_length).select(*finds.columns))
-        rows = written(rows.unionByName(finds.select(*COLUMNS)), "strings")
+        rows = written(rows.unionByName(_whole(finds)), "strings")
     decoded = decode.decode_all(rows)
     fresh = kinds.with_kind(decoded.withColumnRenamed("kind", "known")).withColumn("kind", F.coalesce("known", "kind")).drop("known")
-    spaced = text.spaced_ascii(rows).withColumns({"value": F.col("decoded"), "method": F.lit("SpacedAscii"), "kind": F.lit(None).cast("string")}).select(*COLUMNS)
-    every = fresh.select(*COLUMNS).unionByName(spaced)
+    spaced = text.spaced_ascii(rows).withColumns({"value": F.col("decoded"), "method": F.lit("SpacedAscii"), "kind": F.lit(None).cast("string")})
+    every = fresh.select(*COLUMNS).unionByName(_whole(spaced))
     if o.scripts:
         texts = wide.where("__text").select(F.col("blob_id").cast("string").alias("blob_id"), F.decode(F.col("content"), "UTF-8").alias("text"))
         payload = kinds.with_kind(script.script_rows(script.deobfuscate(texts), texts))
-        every = every.unionByName(payload.select(*COLUMNS))
+        every = every.unionByName(_whole(payload))
     if o.drop_garbage:
         every = garbage.without_garbage(every)
     if o.interesting:
@@ -80,7 +86,7 @@ def _xor(blobs: DataFrame, o: Options) -> DataFrame:
         blobs = blobs.where(searchable(F.col("content")))
         first = written(xor.single_byte(blobs), "xor")
         windows = blobs.where(F.hex(F.substring("content", 1, 2)) == "4D5A")  # rolling keys are sought in PE blobs
-        finds = first.unionByName(xor.with_own_keys(blobs, xor.repeated_keys(first))).unionByName(xor.scan(windows, xor.rolling_finds)).unionByName(xor.scan(blobs, xor.incremental_finds)).unionByName(xor.scan(blobs, xor.dotted_finds))
+        finds = first.unionByName(xor.with_own_keys(blobs, xor.repeated_keys(first))).unionByName(xor.rolling(windows)).unionByName(xor.incremental(blobs)).unionByName(xor.dotted(blobs))
     named = kinds.with_kind(finds.drop("key").dropDuplicates(["blob_id", "data_offset", "value"]))
     if not o.xor_key:
         named = named.withColumn("value", xor.clean_tail(F.col("value"), F.col("kind"))).withColumn("data_len", F.least("data_len", F.octet_length("value")))

@@ -98,7 +98,7 @@ def test_iocs(spark):
     assert got == {("ip", "45.33.32.156"): ([443], 2, 2), ("hostname", "c2.example.com"): ([8443], 2, 2), ("ip", "2a00:1450::5"): ([8080], 1, 1), ("path", "/tmp/.stage-9f3a/payload.bin"): ([], 1, 1)}
     many = strings(spark, ["http://a.example.com/"] * 30, kind="Url")
     one = iocs.extract_iocs(many).first()
-    assert (one["count"], len(one.occurrences), one.occurrences[0].data_offset) == (30, 8, 0)
+    assert (one["count"], len(one.occurrences), one.occurrences[0].source_spans[0].offset) == (30, 8, 0)
     key = iocs.extract_iocs(strings(spark, ["0x4142"], kind="XorKey", method="XorStackPair")).first()
     assert (key.kind, key.value) == ("key", "base64url:QUI")
     assert iocs.ordered(iocs.extract_iocs(strings(spark, []))).collect() == []
@@ -250,8 +250,7 @@ def test_embedded_base64_offsets_and_foreign_scripts(spark):
     token = base64.b64encode(b"uname -a").decode()
     rows = strings(spark, [f"cfg={token} and again={token}", f"{'A' * 8}{token} x"])
     got = sorted((r.value, r.data_offset) for r in decode.embedded_base64_rows(rows).collect())
-    assert got[:2] == [("uname -a", 4), ("uname -a", 4 + len(token) + len(" and again="))]
-    assert len(got) <= 3
+    assert [x for x in got if x[0] == "uname -a"] == [("uname -a", 4), ("uname -a", 4 + len(token) + len(" and again="))]
     assert [x[0] for x in binary.wide_strings("Привет, мир".encode("utf-16-le"))] == ["Привет, мир"]
     assert list(binary.wide_strings(b"a b c d e f g h ")) == []
 
