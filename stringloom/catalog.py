@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stringloom import cases
 from stringloom.functions import lexicon as L
 from stringloom.functions.classify import DEFER, kind_sql
 from stringloom.functions.dialect import DUCKDB, SPARK
@@ -15,7 +16,7 @@ from stringloom.functions.garbage import garbage_sql
 from stringloom.operators import binary, decode, iocs, kinds, ranges, script, text, xor
 from stringloom.operators.garbage import is_garbage
 from stringloom.plans.pipeline import Options, extract
-from stringloom.samples import XOR_KEY, make
+from stringloom.samples import ANCHORED, XOR_KEY, make
 from stringloom.shipping import ship
 from stringloom.sources.blobs import spread
 
@@ -99,20 +100,19 @@ def ioc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _tokens(spark, sf_dir, DOTTED).where(F.expr(iocs.external_ipv4(SPARK, "value", "true"))).select("blob_id", "value", F.lit("IP").alias("kind"))
     urls = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.col("url").alias("value"), F.lit("Url").alias("kind"))
     rows = words.unionByName(urls).withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("ScriptDecode")})
-    found = iocs.matches(rows)
-    return found.groupBy(F.col("ioc_kind").alias("kind"), F.col("ioc_value").alias("value")).agg(
-        F.count(F.lit(1)).alias("count"), F.coalesce(F.array_join(F.array_sort(F.collect_set(F.col("port").cast("string"))), ","), F.lit("")).alias("ports"), F.min("blob_id").alias("first_seen")
-    )
+    ports = F.array_join(F.transform("ports", lambda p: p.cast("string")), ",")
+    return iocs.extract_iocs(rows).select("kind", "value", "count", ports.alias("ports"), F.col("occurrences")[0]["blob_id"].alias("first_seen"))
 
 
 @query(
     r"""
 SELECT lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS host, count(*) AS n, count(DISTINCT url) AS urls FROM pages
-WHERE contains(url, '://') GROUP BY ALL"""
+WHERE contains(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#:]*)', 1), '.') GROUP BY ALL"""
 )
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "pages").where(F.col("url").contains("://"))
-    return rows.groupBy(F.lower(F.regexp_extract("url", "://(?:[^/?#]*@)?([^/?#:]*)", 1)).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
+    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("blob_id"), F.col("url").alias("value"), F.lit("Url").alias("kind"), F.lit("ScriptDecode").alias("method"))
+    found = iocs.matches(rows).where("ioc_kind = 'hostname'")
+    return found.groupBy(F.col("ioc_value").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("urls"))
 
 
 @query(TOKENS_SQL + f"SELECT value, count(*) AS n, count(DISTINCT blob_id) AS docs FROM t WHERE {iocs.external_ipv4(DUCKDB, 'value', 'true')} GROUP BY value")
@@ -433,8 +433,8 @@ def garbage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bytes: texts hidden in blobs come back ----------------------------------------------
 
 
-def _blobs(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("blob_id"), make(how, _plain()).alias("content"))
+def _blobs(spark: SparkSession, sf_dir: str, how: str, plain=None) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("blob_id"), make(how, _plain() if plain is None else plain).alias("content"))
 
 
 TEXT_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('Note for the part of brand ', p_brand, ': ', p_name) AS value FROM part"
@@ -442,13 +442,13 @@ TEXT_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('Note for the p
 
 @query(TEXT_SQL)
 def xor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xor.with_key(_blobs(spark, sf_dir, "xor"), XOR_KEY).where(F.col("data_offset") == 0).select("blob_id", "value")
+    return xor.with_key(_blobs(spark, sf_dir, "xor"), XOR_KEY).select("blob_id", "value")
 
 
 @query(r"SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('see http://h', strlen(concat('Note for the part of brand ', p_brand, ': ', p_name)), '.example.com/', replace(replace(concat('Note for the part of brand ', p_brand, ': ', p_name), ' ', '_'), '#', '')) AS value FROM part")
 def xor_single_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key isn't given: the scan finds it by its anchors."""
-    return xor.single_byte(_blobs(spark, sf_dir, "single")).where("hex(key) = '5A'").select("blob_id", "value")
+    return ranges.resolve_overlaps(xor.single_byte(_blobs(spark, sf_dir, "single")).withColumn("rank", F.lit(0))).select("blob_id", "value")
 
 
 @query(TEXT_SQL)
@@ -501,14 +501,18 @@ def base32_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.base32_rows(_hidden(spark, sf_dir, "base32")).select("blob_id", "value")
 
 
-@query()
+VOWELS = "a queue of audio, an aeiou area: "
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('{VOWELS}', p_partkey) AS value FROM part")
 def base85_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only decodings that read better than their input by more than five points are given."""
-    return decode.base85_rows(_hidden(spark, sf_dir, "base85")).select("blob_id", "value")
+    """Only decodings that read better than their input by more than five points are given: this text has many vowels."""
+    text_ = F.concat(F.lit(VOWELS), F.col("p_partkey").cast("string"))
+    return decode.base85_rows(_hidden(spark, sf_dir, "base85", text_)).select("blob_id", "value")
 
 
-def _hidden(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    rows = _blobs(spark, sf_dir, how).select("blob_id", F.decode("content", "UTF-8").alias("value"))
+def _hidden(spark: SparkSession, sf_dir: str, how: str, plain=None) -> DataFrame:
+    rows = _blobs(spark, sf_dir, how, plain).select("blob_id", F.decode("content", "UTF-8").alias("value"))
     return rows.withColumns({"data_offset": F.lit(0).cast("long"), "data_len": F.lit(0), "method": F.lit("RawScan"), "kind": F.lit(None).cast("string")})
 
 
@@ -539,18 +543,155 @@ def script_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(F.coalesce(script.language(F.col("t")), F.lit("none")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, p_name AS value FROM part")
-def rot13_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    turn = lambda c: F.translate(c, upper + lower, upper[13:] + upper[:13] + lower[13:] + lower[:13])
-    return _table(spark, sf_dir, "part").select("p_partkey", turn(turn(F.col("p_name"))).alias("value"))
-
-
-@query()
+@query(
+    r"""
+WITH RECURSIVE d AS (SELECT o_custkey AS blob_id, o_orderkey % 500 AS data_offset, CAST(10 + o_orderkey % 40 AS INT) AS data_len, min(o_orderpriority) AS value, min(CAST(o_orderkey % 3 AS INT)) AS rank FROM orders GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY rank, data_len DESC, data_offset, value) AS i FROM d),
+g AS (SELECT blob_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s BIGINT, e BIGINT, r INT)[]) AS taken FROM (SELECT DISTINCT blob_id FROM d)
+  UNION ALL
+  SELECT g.blob_id, o.i, CASE WHEN len(list_filter(taken, lambda t: t.s < o.data_offset + o.data_len AND o.data_offset < t.e)) = 0 THEN list_append(taken, {'s': o.data_offset, 'e': o.data_offset + o.data_len, 'r': o.rank}) ELSE taken END
+  FROM g JOIN o ON o.blob_id = g.blob_id AND o.i = g.i + 1),
+f AS (SELECT blob_id, unnest(arg_max(taken, i)) AS t FROM g GROUP BY blob_id)
+SELECT blob_id, t.s AS data_offset, CAST(t.e - t.s AS INT) AS data_len, t.r AS rank FROM f"""
+)
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice among overlapping intervals made from orders."""
     rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey AS blob_id", "o_orderkey % 500 AS data_offset", "CAST(10 + o_orderkey % 40 AS INT) AS data_len", "o_orderpriority AS value", "CAST(o_orderkey % 3 AS INT) AS rank")
-    return ranges.resolve_overlaps(rows.dropDuplicates(["blob_id", "data_offset", "data_len"])).select("blob_id", "data_offset", "data_len", "rank")
+    rows = rows.groupBy("blob_id", "data_offset", "data_len").agg(F.min("value").alias("value"), F.min("rank").alias("rank"))
+    return ranges.resolve_overlaps(rows).select("blob_id", "data_offset", "data_len", "rank")
+
+
+# --- answers written by hand --------------------------------------------------------------
+
+
+def _cases(spark: SparkSession, sf_dir: str, table) -> DataFrame:
+    return cases.planted(spark, _table(spark, sf_dir, "part"), table)
+
+
+@query(cases.planted_sql(cases.KINDS, "kind"))
+def case_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinds.with_kind(_cases(spark, sf_dir, cases.KINDS))
+
+
+@query(cases.planted_sql(cases.NOISE, "garbage"))
+def case_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cases(spark, sf_dir, cases.NOISE).withColumn("kind", F.lit(None).cast("string"))
+    return rows.select("p_partkey", "value", is_garbage("value").cast("string").alias("garbage"))
+
+
+@query(cases.planted_sql(cases.ADDRESSES, "external"))
+def case_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, cases.ADDRESSES).withColumn("external", F.expr(iocs.external_ipv4(SPARK, "value", "true")).cast("string"))
+
+
+@query(cases.planted_sql(cases.PATHS, "ioc"))
+def case_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, cases.PATHS).withColumn("ioc", F.expr(iocs.ioc_path(SPARK, "value")).cast("string"))
+
+
+@query(cases.planted_sql(cases.SCRIPTS, "language"))
+def case_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, cases.SCRIPTS).withColumn("language", F.coalesce(script.language(F.col("value")), F.lit("none")))
+
+
+@query(cases.planted_sql(cases.ENTROPIES, "entropy"))
+def case_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, cases.ENTROPIES).withColumn("entropy", F.format_string("%.6f", F.expr(entropy_sql(SPARK, "value"))))
+
+
+@query(cases.planted_sql(cases.KEYS, "candidate"))
+def case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir, cases.KEYS).withColumn("candidate", F.expr(candidate_sql(SPARK, "value")).cast("string"))
+
+
+@query(
+    r"""
+SELECT concat('see http://user@Host', p_partkey, '.Example.com:', 1 + p_partkey % 60000, '/x') AS source, concat('host', p_partkey, '.example.com') AS value, 16 AS at, strlen(concat('host', p_partkey, '.example.com')) AS size,
+  1 + p_partkey % 60000 AS port, CAST(3 * p_partkey AS BIGINT) AS source_at, strlen(concat('see http://user@Host', p_partkey, '.Example.com:', 1 + p_partkey % 60000, '/x')) AS source_len FROM part"""
+)
+def ioc_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in its value and in its blob an indicator stands."""
+    value = F.expr("concat('see http://user@Host', p_partkey, '.Example.com:', 1 + p_partkey % 60000, '/x')")
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), value.alias("value"), (F.col("p_partkey") * 3).alias("data_offset"), F.lit(0).alias("data_len"), F.lit("RawScan").alias("method"), F.lit("Url").alias("kind"))
+    o = F.col("occurrences")[0]
+    found = iocs.extract_iocs(rows).select("value", o["value_span"]["offset"].alias("at"), o["value_span"]["length"].alias("size"), o["port"].alias("port"), o["source_spans"][0]["offset"].alias("source_at"), o["source_spans"][0]["length"].alias("source_len"), o["blob_id"].alias("blob_id"))
+    return found.join(rows.select("blob_id", F.col("value").alias("source")), "blob_id").drop("blob_id")
+
+
+@query("SELECT 'base64url:' || rtrim(translate(to_base64(encode(concat('key-', p_partkey, '?~'))), '+/', '-_'), '=') AS value, 1 AS count, strlen(concat('key-', p_partkey, '?~')) AS bytes, 'xor' AS algorithm FROM part")
+def ioc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key rows as canonical indicators, decoded again for their size."""
+    value = F.expr("concat('key-', p_partkey, '?~')")
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob_id"), value.alias("value"), F.lit(0).cast("long").alias("data_offset"), F.lit(0).alias("data_len"), F.lit("XorDecode").alias("method"), F.lit("XorKey").alias("kind"))
+    return iocs.extract_iocs(rows).select("value", "count", F.col("key.bytes").alias("bytes"), F.col("key.algorithms")[0].alias("algorithm"))
+
+
+# --- more bytes: every row that a scan gives, none filtered -------------------------------
+
+_ANCHORS = ", ".join(f"({i}, {DUCKDB.lit(a)})" for i, a in enumerate(ANCHORED))
+
+
+@query(
+    f"""
+SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat(a, ' of part ', p_partkey) AS value, CAST(24 AS BIGINT) AS data_offset, (p_partkey * 7 % 200 + 40) | 1 AS key
+FROM part JOIN (VALUES {_ANCHORS}) t(i, a) ON p_partkey % 2 = 0 AND (p_partkey // 2) % {len(ANCHORED)} = i"""
+)
+def xor_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each anchor under many keys is found; the odd blobs, plain noise, give nothing. Of finds at one place the longest stays."""
+    blobs = _blobs(spark, sf_dir, "anchored", F.concat(F.col("p_partkey").cast("string"), F.lit("|x")))
+    return ranges.resolve_overlaps(xor.single_byte(blobs).withColumn("rank", F.lit(0))).select("blob_id", "value", "data_offset", F.conv(F.hex("key"), 16, 10).cast("long").alias("key"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('copy %APPDATA%', chr(92), 'tool to HKEY_CURRENT_USER', chr(92), 'SOFTWARE', chr(92), replace(concat('Note for the part of brand ', p_brand, ': ', p_name), ' ', '_')) AS value, CAST(66 AS BIGINT) AS data_offset, '216B39' AS key FROM part")
+def xor_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xor.rolling(_blobs(spark, sf_dir, "rolled")).select("blob_id", "value", "data_offset", F.hex("key").alias("key"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('start /bin/tool for Note for the part of brand ', p_brand, ': ', p_name) AS value, CAST(30 AS BIGINT) AS data_offset, '07' AS key FROM part")
+def xor_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xor.incremental(_blobs(spark, sf_dir, "grown")).select("blob_id", "value", "data_offset", F.hex("key").alias("key"))
+
+
+@query(
+    r"""
+WITH t AS (SELECT p_partkey, 100 + strlen(concat('Note for the part of brand ', p_brand, ': ', p_name)) AS n FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('45.33.', n, '.156:8443') AS value, 'A7' AS key FROM t UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'evil-host.com', 'A7' FROM t"""
+)
+def xor_dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xor.dotted(_blobs(spark, sf_dir, "dotted")).select("blob_id", "value", F.hex("key").alias("key"))
+
+
+def _structured(name: str, how: str, sql: str, methods: tuple[str, ...], kind: bool = False) -> None:
+    """A query for what a container's own extractors give; raw runs, which every blob has, are left out."""
+
+    @query(sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = binary.extract_blobs(_blobs(spark, sf_dir, how)).where(F.col("method").isin(*methods))
+        return found.select("blob_id", "value", *(["kind"] if kind else ["method"]))
+
+    _QUERIES[name], _SQL[name] = _QUERIES.pop("run"), _SQL.pop("run")
+
+
+_NOTE = "concat('Note for the part of brand ', p_brand, ': ', p_name)"
+_ONE = "SELECT CAST(p_partkey AS VARCHAR) AS blob_id, {} AS value, '{}' AS {} FROM part"
+for _name, _how, _methods in (("elf32_big_endian", "pointer32be", ("Structure",)), ("macho_pointers", "machopointer", ("Structure",)), ("pe_pointers", "pepointer", ("Structure",)), ("pe_wide", "pewide", ("Structure", "WideString")), ("dotnet_user_strings", "dotnet", ("Structure",))):
+    _structured(_name, _how, _ONE.format(_NOTE, "WideString" if _name == "pe_wide" else "Structure", "method"), _methods)
+_structured("macho_fat", "fat", f"{_ONE.format(f"concat('first ', {_NOTE})", 'Structure', 'method')} UNION ALL {_ONE.format(f"concat('second ', {_NOTE})", 'Structure', 'method')}", ("Structure",))
+_structured("pe_symbols", "petables", f"{_ONE.format("'ImportNote'", 'Import', 'kind')} UNION ALL {_ONE.format("'ExportNote'", 'Export', 'kind')}", ("R2Symbol",), True)
+_structured("macho_symbols", "machosymbols", f"{_ONE.format("'_import_note'", 'Import', 'kind')} UNION ALL {_ONE.format("'_export_note'", 'Export', 'kind')}", ("R2Symbol",), True)
+
+
+def _script(name: str, how: str, chain: str) -> None:
+    @query(f"SELECT CAST(p_partkey AS VARCHAR) AS blob_id, {_NOTE} AS decoded, '{chain}' AS chain, 'python' AS language FROM part")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _blobs(spark, sf_dir, how).select("blob_id", F.decode("content", "UTF-8").alias("text"))
+        return script.deobfuscate(rows).select("blob_id", "decoded", "chain", "language")
+
+    _QUERIES[name], _SQL[name] = _QUERIES.pop("run"), _SQL.pop("run")
+
+
+_script("script_rot13", "rot13script", "rot13")
+_script("script_hex", "hexscript", "hex")
 
 
 @query()
