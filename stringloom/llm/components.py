@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Edges and labels stay distributed; each step is written to the shared folder. A hub's edges are
-never gathered: a step is an aggregation (combined map-side) and a join with the written minima,
-which Spark can broadcast or split. The steps end when the edges are stars.
+Edges and labels stay distributed; each round is written to the shared folder. A hub's edges are
+never gathered: a step is an aggregation (combined map-side) and a join with the minima, in which
+they pass one by one. The rounds end when the edges are stars.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from .common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,7 +38,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if _are_stars(now):
             break
-        now = written(_small_star(written(_large_star(now), "edges")), "edges")
+        now = written(_small_star(_large_star(now)), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     labels = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

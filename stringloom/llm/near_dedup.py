@@ -47,7 +47,7 @@ FINE_SAMPLES, FINE_BITS = 1024, 2048
 #: Members of a star that one task compares with the centre.
 STAR = 512
 #: Members of a bucket outside its centre's component, and shingles of a family, that a task holds at a time.
-CHUNK, BLOCK = 512, 1 << 21
+CHUNK, BLOCK = 512, 1 << 17
 
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=FINE_SAMPLES + 16, dtype=np.uint64) | np.uint64(1)
 _MULTIPLIERS, _FOLD = _MIX[16:, None], _MIX[:16]
