@@ -666,7 +666,7 @@ def _structured(name: str, how: str, sql: str, methods: tuple[str, ...], kind: b
 
     @query(sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = binary.extract_blobs(_blobs(spark, sf_dir, how)).where(F.col("method").isin(*methods))
+        found = binary.extract_blobs(_blobs(spark, sf_dir, how)).where(F.col("kind").isin(*methods) if kind else F.col("method").isin(*methods))
         return found.select("blob_id", "value", *(["kind"] if kind else ["method"]))
 
     _QUERIES[name], _SQL[name] = _QUERIES.pop("run"), _SQL.pop("run")
@@ -677,8 +677,8 @@ _ONE = "SELECT CAST(p_partkey AS VARCHAR) AS blob_id, {} AS value, '{}' AS {} FR
 for _name, _how, _methods in (("elf32_big_endian", "pointer32be", ("Structure",)), ("macho_pointers", "machopointer", ("Structure",)), ("pe_pointers", "pepointer", ("Structure",)), ("pe_wide", "pewide", ("Structure", "WideString")), ("dotnet_user_strings", "dotnet", ("Structure",))):
     _structured(_name, _how, _ONE.format(_NOTE, "WideString" if _name == "pe_wide" else "Structure", "method"), _methods)
 _structured("macho_fat", "fat", f"{_ONE.format(f"concat('first ', {_NOTE})", 'Structure', 'method')} UNION ALL {_ONE.format(f"concat('second ', {_NOTE})", 'Structure', 'method')}", ("Structure",))
-_structured("pe_symbols", "petables", f"{_ONE.format("'ImportNote'", 'Import', 'kind')} UNION ALL {_ONE.format("'ExportNote'", 'Export', 'kind')}", ("R2Symbol",), True)
-_structured("macho_symbols", "machosymbols", f"{_ONE.format("'_import_note'", 'Import', 'kind')} UNION ALL {_ONE.format("'_export_note'", 'Export', 'kind')}", ("R2Symbol",), True)
+_structured("pe_symbols", "petables", f"{_ONE.format("'ImportNote'", 'Import', 'kind')} UNION ALL {_ONE.format("'ExportNote'", 'Export', 'kind')}", ("Import", "Export"), True)
+_structured("macho_symbols", "machosymbols", f"{_ONE.format("'_import_note'", 'Import', 'kind')} UNION ALL {_ONE.format("'_export_note'", 'Export', 'kind')}", ("Import", "Export"), True)
 
 
 def _script(name: str, how: str, chain: str) -> None:
@@ -690,6 +690,17 @@ def _script(name: str, how: str, chain: str) -> None:
     _QUERIES[name], _SQL[name] = _QUERIES.pop("run"), _SQL.pop("run")
 
 
+@query(
+    f"""
+WITH b AS (SELECT CAST(p_partkey AS VARCHAR) AS blob_id, concat('18.44.', strlen({_NOTE}) % 200, '.23') AS version FROM part)
+SELECT blob_id, '.rsrc' AS value, 'RawScan' AS method, 'Section' AS kind FROM b UNION ALL SELECT blob_id, version, 'WideString', NULL FROM b
+UNION ALL SELECT blob_id, version, 'RawScan', NULL FROM b UNION ALL SELECT blob_id, '45.33.32.156', 'RawScan', 'IP' FROM b"""
+)
+def pe_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's own version is no address, however it looks; section names are told."""
+    return extract(_blobs(spark, sf_dir, "peversion")).where(F.col("value").contains(".")).select("blob_id", "value", "method", "kind")
+
+
 _script("script_rot13", "rot13script", "rot13")
 _script("script_hex", "hexscript", "hex")
 

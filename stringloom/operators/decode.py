@@ -167,6 +167,11 @@ def fuzzy_base64_rows(rows: DataFrame) -> DataFrame:
 DECODERS = (base64_rows, joined_literals, embedded_base64_rows, fuzzy_base64_rows, base32_rows, base85_rows, hex_rows, url_rows, unicode_rows)
 
 
+def decoded_rows(rows: DataFrame) -> DataFrame:
+    """What every decoder makes of rows."""
+    return reduce(DataFrame.unionByName, [f(rows) for f in DECODERS])
+
+
 def decode_all(rows: DataFrame) -> DataFrame:
     """rows and what every decoder makes of them."""
-    return reduce(DataFrame.unionByName, [f(rows) for f in DECODERS], rows)
+    return rows.unionByName(decoded_rows(rows))

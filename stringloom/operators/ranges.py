@@ -45,9 +45,11 @@ def suppress_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def strip_length_byte(rows: DataFrame) -> DataFrame:
-    """A first byte that is the length of what follows goes; the offset moves by one."""
-    prefixed = F.ascii(F.substring("value", 1, 1)) == F.octet_length("value") - 1
-    return rows.withColumns({"data_offset": F.when(prefixed, F.col("data_offset") + 1).otherwise(F.col("data_offset")), "value": F.when(prefixed, F.expr("substr(value, 2)")).otherwise(F.col("value"))})
+    """Of package paths and type names a first character goes whose code is the length of the rest; the offset moves by one."""
+    rest = F.expr("substr(value, 2)")
+    path = rest.rlike(r"^[A-Za-z_*\[(.][A-Za-z0-9/._*\[\]() -]*\z") & rest.rlike("[/.]")
+    prefixed = F.coalesce((F.octet_length("value") >= 6) & (F.ascii(F.substring("value", 1, 1)) == F.octet_length("value") - 1) & F.expr("substr(value, 1, 1)").rlike(r"^[!-~]\z") & path, F.lit(False))
+    return rows.withColumns({"data_offset": F.when(prefixed, F.col("data_offset") + 1).otherwise(F.col("data_offset")), "value": F.when(prefixed, rest).otherwise(F.col("value"))})
 
 
 def islands(rows: DataFrame, gap: int, start: str = "start", end: str = "end") -> DataFrame:

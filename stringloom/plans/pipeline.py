@@ -51,7 +51,8 @@ def extract(blobs: DataFrame, options: Options | None = None) -> DataFrame:
     found = binary.extract_blobs(wide.where(~F.col("__text") & F.col("__bom").isNull()), o.min_length)
     rows = kinds.with_kind(lines.withColumn("kind", F.lit(None).cast("string")).unionByName(found).withColumnRenamed("kind", "known"))
     overlay = F.col("known").isin("Overlay", "OverlayWide") & F.col("kind").isin(*L.OVERLAY_KEPT)  # telling kinds stay in overlays
-    rows = rows.withColumn("kind", F.when(overlay, F.col("kind")).otherwise(F.coalesce("known", "kind"))).drop("known").select(*COLUMNS)
+    version, address = F.coalesce(F.col("known") == binary.VERSION, F.lit(False)), F.coalesce(F.col("kind").isin("IP", "IPPort"), F.lit(False))
+    rows = rows.withColumn("kind", F.when(overlay | (version & ~address), F.col("kind")).when(~version, F.coalesce("known", "kind"))).drop("known").select(*COLUMNS)
     magic = F.hex(F.substring("content", 1, 4)).isin("CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "CAFEBABE")
     signed = binary.catalogue(blobs.where(magic)).where("what = 'segment' AND name = '__LINKEDIT'")
     rows = written(ranges.relabel_signatures(rows, signed), "strings")
@@ -60,16 +61,17 @@ def extract(blobs: DataFrame, options: Options | None = None) -> DataFrame:
         if not o.xor_key:
             finds = finds.unionByName(xor.own_key_finds(blobs, rows, kinds.with_kind, o.min_length).select(*finds.columns))
         rows = written(rows.unionByName(_whole(finds)), "strings")
-    decoded = decode.decode_all(rows)
-    fresh = kinds.with_kind(decoded.withColumnRenamed("kind", "known")).withColumn("kind", F.coalesce("known", "kind")).drop("known")
     spaced = text.spaced_ascii(rows).withColumns({"value": F.col("decoded"), "method": F.lit("SpacedAscii"), "kind": F.lit(None).cast("string")})
-    every = fresh.select(*COLUMNS).unionByName(_whole(spaced))
+    fresh = decode.decoded_rows(rows).select(*COLUMNS).unionByName(_whole(spaced))
+    fresh = kinds.with_kind(fresh.withColumnRenamed("kind", "known")).withColumn("kind", F.coalesce("known", "kind"))
+    every = rows.select(*COLUMNS).unionByName(fresh.select(*COLUMNS))
     if o.scripts:
         texts = wide.where("__text").select(F.col("blob_id").cast("string").alias("blob_id"), F.decode(F.col("content"), "UTF-8").alias("text"))
         payload = kinds.with_kind(script.script_rows(script.deobfuscate(texts), texts))
         every = every.unionByName(_whole(payload))
     if o.drop_garbage:
         every = garbage.without_garbage(every)
+    every = ranges.strip_length_byte(every)
     if o.interesting:
         every = every.where("method <> 'RawScan'")
     return kinds.top_per_offset(every)

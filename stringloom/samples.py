@@ -72,6 +72,13 @@ def pe_tables(imported: bytes, exported: bytes) -> bytes:
     return pe([(".idata", at, bytes(data), 0x40000040)], {0: (at + 160, 40), 1: (at, 40)})
 
 
+def versioned(text: bytes) -> bytes:
+    """A PE with a version resource whose file version looks like an address, which stands in it again, and a real address."""
+    version = f"18.44.{len(text) % 200}.23"
+    info = b"".join(x.encode("utf-16-le") + b"\0\0" for x in ("VS_VERSION_INFO", "FileVersion", version))
+    return pe([(".rsrc", 0x1000, b"\xff\xff" + info + b"\xff\xff" + version.encode() + b"\x0045.33.32.156\0", 0x40000040)])
+
+
 def dotnet(text: bytes) -> bytes:
     """A PE whose CLR metadata holds a text in the #US heap."""
     wide = text.decode().encode("utf-16-le") + b"\0"
@@ -188,7 +195,7 @@ def macho_symbols(text: bytes) -> bytes:
 
 
 MAKERS = {
-    "anchored": anchored, "rolled": rolled, "grown": grown, "dotted": dotted, "pointer32be": big_endian_pointer, "machopointer": macho_pointer, "fat": fat_image, "machosymbols": macho_symbols, "dotnet": dotnet,
+    "anchored": anchored, "rolled": rolled, "grown": grown, "dotted": dotted, "pointer32be": big_endian_pointer, "machopointer": macho_pointer, "fat": fat_image, "machosymbols": macho_symbols, "peversion": versioned, "dotnet": dotnet,
     "petables": lambda t: pe_tables(b"Import" + t.split()[0], b"Export" + t.split()[0]), "pepointer": lambda t: pe([(".rdata", 0x1000, t + b"\0", 0x40000040), (".data", 0x3000, struct.pack("<QQ", 0x140001000, len(t)), 0xC0000040)]),
     "pewide": lambda t: pe([(".rsrc", 0x1000, b"\xff\xff" + t.decode().encode("utf-16-le") + b"\0\0\xff\xff", 0x40000040)]), "rot13script": lambda t: b"import os, codecs\nexec(codecs.decode('" + codecs.encode(t.decode(), "rot13").encode() + b"', 'rot13'))\n",
     "hexscript": lambda t: b"import os, binascii\nexec(bytes.fromhex('" + t.hex().encode() + b"'))\n",

@@ -141,7 +141,9 @@ def test_ranges(spark):
     assert sorted(r.value[0] for r in ranges.resolve_overlaps(piles).collect()) == ["w", "y", "z"]
     merged = ranges.merge_symbols(rows, spark.createDataFrame([("b", "aaaa", 1, "Import"), ("b", "new", 2, "Export")], "blob_id string, value string, data_offset long, kind string"))
     assert {(r.value, r.kind) for r in merged.collect()} == {("aaaa", "Import"), ("bbbb", None), ("cccc", None), ("new", "Export")}
-    assert [r.value for r in ranges.strip_length_byte(strings(spark, ["\x04main"])).collect()] == ["main"]
+    path = "github.com/owner/project/internal/thing"
+    stripped = ranges.strip_length_byte(strings(spark, [chr(len(path)) + path, "x" + path, "\x04main", "", None])).orderBy("data_offset").collect()
+    assert [(r.value, r.data_offset) for r in stripped] == [(path, 1), ("x" + path, 1000), ("\x04main", 2000), ("", 3000), (None, 4000)]
 
 
 def test_garbage(spark):
@@ -198,6 +200,20 @@ def test_relabelling(spark):
     assert {r.data_offset: r.kind for r in ranges.suppress_versions(rows, versions).collect()}[3000] is None
 
 
+def test_tables_settle_rows(spark):
+    info = b"".join(x.encode("utf-16-le") + b"\0\0" for x in ("VS_VERSION_INFO", "FileVersion", "18.44.33.23", "ProductVersion", "18.44.33.24"))
+    pe = samples.pe([(".rsrc", 0x1000, b"\xff\xff" + info + b"\xff\xff18.44.33.23\x0045.33.32.156\0", 0x40000040)])
+    symbols = samples.MAKERS["petables"](b"Note here")
+    blobs = spark.createDataFrame([("v", pe), ("s", symbols)], "blob_id string, content binary")
+    got = {(r.blob_id, r.value): (r.method, r.kind) for r in extract(blobs).collect()}
+    assert (got["v", "18.44.33.23"][1], got["v", "18.44.33.24"][1], got["v", "45.33.32.156"][1]) == (None, None, "IP")
+    assert got["v", ".rsrc"][1] == "Section"
+    assert (got["s", "ImportNote"], got["s", "ExportNote"]) == (("RawScan", "Import"), ("RawScan", "Export"))
+    signed = [binary.row("<?xml ok</plist>", 100, 16, "CodeSignature", "EntitlementsXml"), binary.row("inside", 104, 6, "RawScan"), binary.row("behind", 116, 6, "RawScan"), binary.row("only_symbol", 0, 0, "R2Symbol", "Import")]
+    assert [(r[0], r[4]) for r in binary.settle(signed, b"")] == [("<?xml ok</plist>", "EntitlementsXml"), ("behind", None), ("only_symbol", "Import")]
+    assert binary.settle([], b"") == []
+
+
 def test_arm_connect():
     code = b"".join(bytes([b, 0x30, 0xA0, 0xE3, 4 + i, 0x30, 0xCD, 0xE5]) for i, b in enumerate((45, 33, 32, 156)))
     c = containers.Container("elf", "arm", sections=[containers.Section(".text", 0, 0, len(code), True)])
