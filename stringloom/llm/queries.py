@@ -71,12 +71,6 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-OP5_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-p AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d)
-SELECT doc_id, n AS n_chars, sha256(concat(substring(t, 1, n - n // 4), substring(nt, 1, n // 4))) AS edited_sha256 FROM p
-"""
-
 OP6_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p),
