@@ -15,6 +15,12 @@ def is_garbage(value: str = "__t", kind: str = "kind") -> Column:
     return F.expr(garbage_sql(SPARK, value, kind))
 
 
+def plausible(finds: DataFrame) -> DataFrame:
+    """Finds (value, kind) of a key search that chance hardly makes: those with a kind, or with words and not noise."""
+    words = F.col("__t").rlike(r"[a-z]{3,}[ /._-][a-z]{2,}")
+    return finds.withColumn("__t", F.trim("value")).where(F.col("kind").isNotNull() | (~is_garbage() & words)).drop("__t")
+
+
 def without_garbage(rows: DataFrame) -> DataFrame:
     """Rows that aren't noise; decoded rows and rows of structural kinds always stay."""
     label = F.regexp_replace(trimmed(F.col("value")), r"^[A-Za-z_][A-Za-z0-9_]*: +", "")

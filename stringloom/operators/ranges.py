@@ -61,8 +61,9 @@ def islands(rows: DataFrame, gap: int, start: str = "start", end: str = "end") -
 
 
 def resolve_overlaps(rows: DataFrame, rank: str = "rank") -> DataFrame:
-    """Greedy choice of rows that don't overlap: lower rank, then longer, then earlier.
+    """Greedy choice of rows that don't overlap: lower rank, then longer, then earlier, then fewer odd characters.
 
+    Two keys can make printable text of the same bytes; letters, digits and blanks tell which is meant.
     Rows of an island of overlaps follow each other in the order of choice; a task holds the spans
     chosen so far in one island.
     """
@@ -70,8 +71,8 @@ def resolve_overlaps(rows: DataFrame, rank: str = "rank") -> DataFrame:
     placed = rows.withColumns({"start": F.col("data_offset"), "end": F.col("data_offset") + length})
     placed = islands(placed, -1)
 
-    placed = placed.withColumn("__n", F.col("start") - F.col("end"))
-    placed = placed.repartition(KEY, "island").sortWithinPartitions(KEY, "island", rank, "__n", "start", "value")
+    placed = placed.withColumns({"__n": F.col("start") - F.col("end"), "__odd": F.length(F.regexp_replace("value", "[A-Za-z0-9 ]", ""))})
+    placed = placed.repartition(KEY, "island").sortWithinPartitions(KEY, "island", rank, "__n", "start", "__odd", "value")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pile, spans = None, []
@@ -87,7 +88,7 @@ def resolve_overlaps(rows: DataFrame, rank: str = "rank") -> DataFrame:
                 keep.append(free)
             yield batch[keep]
 
-    return placed.mapInPandas(choose, placed.schema).drop("start", "end", "island", "__n")
+    return placed.mapInPandas(choose, placed.schema).drop("start", "end", "island", "__n", "__odd")
 
 
 def retain(entries: DataFrame, now: str, days: int = 30, cap: int = 2 << 30, share: float = 0.9) -> DataFrame:

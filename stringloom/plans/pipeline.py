@@ -92,7 +92,7 @@ def _xor(blobs: DataFrame, o: Options) -> DataFrame:
     named = kinds.with_kind(finds.drop("key").dropDuplicates(["blob_id", "data_offset", "value"]))
     if not o.xor_key:
         named = named.withColumn("value", xor.clean_tail(F.col("value"), F.col("kind"))).withColumn("data_len", F.least("data_len", F.octet_length("value")))
-        named = named.withColumn("__t", F.trim("value")).where(F.col("kind").isNotNull() | (~garbage.is_garbage() & F.col("__t").rlike(r"[a-z]{3,}[ /._-][a-z]{2,}"))).drop("__t")
+        named = garbage.plausible(named)
     rank = F.when(kinds.severity(F.col("kind")) == "High", 0).when(F.col("kind").isNotNull(), 1).otherwise(2)
     return ranges.resolve_overlaps(named.withColumn("rank", rank)).drop("rank")
 
